@@ -6,13 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rankloom.operators import schema_drift
+from rankloom.tables import table
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queries()["org_nodes"](spark, sf_dir)
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return schema_drift.report_changes(spark.read.parquet(f"{d}/raw_uploads.parquet"))
+
+
+def p6_unified(spark: SparkSession, d: str) -> DataFrame:
+    return schema_drift.unify(table(spark, d, "raw_uploads"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {"p6_found": p6_found, "p6_unified": p6_unified}
 
 
 def oracle_sql() -> dict[str, str]:
