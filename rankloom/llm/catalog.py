@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import canonical, consensus, packing, survivors, tokenize
+from rankloom.llm import canonical, consensus, packing, survivors, tokenize, variants
 from rankloom.tables import table
 
 
@@ -43,8 +43,12 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return canonical.map_values(spark.read.parquet(f"{d}/test_data.parquet"), spark.read.parquet(f"{d}/region_overlay.parquet"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return variants.link_people(spark.read.parquet(f"{d}/test_data.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_truths": p2_truths, "p3_found": p3_found, "p3_consensus": p3_consensus, "p3_analysts": p3_analysts, "p4_found": p4_found, "p8_ids": p8_ids, "p9_containers": p9_containers}
+    return {"p2_found": p2_found, "p2_truths": p2_truths, "p3_found": p3_found, "p3_consensus": p3_consensus, "p3_analysts": p3_analysts, "p4_found": p4_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_containers": p9_containers}
 
 
 P2_SQL = r"""
