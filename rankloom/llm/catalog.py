@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import canonical, consensus, packing, survivors, tokenize, variants
+from rankloom.llm import canonical, consensus, linkage, packing, survivors, tokenize, variants
 from rankloom.tables import table
 
 
@@ -47,8 +47,16 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return variants.link_people(spark.read.parquet(f"{d}/test_data.parquet"))
 
 
+def p7_matches(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.match_people(spark.read.parquet(f"{d}/authoritative_leaders.parquet"), spark.read.parquet(f"{d}/person_records.parquet"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_matches(spark, d).select("leader_id", "person_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_truths": p2_truths, "p3_found": p3_found, "p3_consensus": p3_consensus, "p3_analysts": p3_analysts, "p4_found": p4_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_containers": p9_containers}
+    return {"p2_found": p2_found, "p2_truths": p2_truths, "p3_found": p3_found, "p3_consensus": p3_consensus, "p3_analysts": p3_analysts, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p7_matches": p7_matches, "p8_ids": p8_ids, "p9_containers": p9_containers}
 
 
 P2_SQL = r"""
