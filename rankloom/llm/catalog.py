@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import canonical, consensus, linkage, packing, survivors, tokenize, variants
+from rankloom.llm import canonical, consensus, linkage, mojibake, packing, survivors, tokenize, variants
 from rankloom.tables import table
 
 
@@ -55,8 +55,16 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_matches(spark, d).select("leader_id", "person_id")
 
 
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.restore(spark.read.parquet(f"{d}/documents.parquet"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_restored(spark, d).select("doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_truths": p2_truths, "p3_found": p3_found, "p3_consensus": p3_consensus, "p3_analysts": p3_analysts, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p7_matches": p7_matches, "p8_ids": p8_ids, "p9_containers": p9_containers}
+    return {"p2_found": p2_found, "p2_truths": p2_truths, "p3_found": p3_found, "p3_consensus": p3_consensus, "p3_analysts": p3_analysts, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p7_matches": p7_matches, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_restored": p10_restored}
 
 
 P2_SQL = r"""
