@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import canonical, consensus, linkage, mojibake, packing, survivors, tokenize, variants
+from rankloom.llm import boilerplate, canonical, consensus, linkage, mojibake, packing, survivors, tokenize, variants
 from rankloom.tables import table
 
 
@@ -63,8 +63,12 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_restored(spark, d).select("doc_id")
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.main_bodies(spark.read.parquet(f"{d}/provenance.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_truths": p2_truths, "p3_found": p3_found, "p3_consensus": p3_consensus, "p3_analysts": p3_analysts, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p7_matches": p7_matches, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_restored": p10_restored}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_truths": p2_truths, "p3_found": p3_found, "p3_consensus": p3_consensus, "p3_analysts": p3_analysts, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p7_matches": p7_matches, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_restored": p10_restored}
 
 
 P2_SQL = r"""
@@ -92,4 +96,4 @@ QUALIFY row_number() OVER (PARTITION BY roster_id, field ORDER BY tier NULLS LAS
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_SQL}
+    return {"p1_found": p1_found, "p2_found": P2_SQL}
