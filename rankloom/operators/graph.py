@@ -32,7 +32,7 @@ def chains(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
     people of one leaf and raw department is extended by the first real person of that layer under its end, or else by
     a ghost if anyone deeper needs one. People of a layer are all placed before the next layer looks at them.
     """
-    p = cut(leaves(placed).select("id", "ord", "leaf", "at_layer", "designation", "sector", F.col("dept_primary").alias("rp"), F.col("dept_secondary").alias("rs")))
+    p = leaves(placed.select("id", "ord", "dept", "sub_dept", "at_layer", "designation", "sector", "dept_primary", "dept_secondary")).withColumn("rp", F.col("dept_primary")).withColumn("rs", F.col("dept_secondary"))
     key = ["leaf", "rp", "rs"]
     cursor = cut(p.filter(F.col("at_layer") > START).groupBy(*key).agg(F.max("at_layer").alias("deepest"), F.min_by("sector", F.struct("at_layer", "ord")).alias("sector")).withColumn("end", F.col("leaf")))
     parents = p.filter(F.col("at_layer") <= START).select("id", F.col("leaf").alias("parent"))
@@ -49,11 +49,11 @@ def chains(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
         ghosts = new if ghosts is None else ghosts.unionByName(new)
         cursor = step.withColumn("end", F.coalesce("real", "ghost")).drop("real", "ghost")
     last = p.filter(F.col("at_layer") == 10).join(cursor.select(*key, "end"), key).select("id", F.col("end").alias("parent"))
-    return parents.unionByName(last), ghosts
+    return cut(parents.unionByName(last)), cut(ghosts)
 
 
 def build(placed: DataFrame, label: str = "Organization") -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of placed people (with ``ord``: their order of entry). Board and executive panels hang under the
+    """Nodes and edges of placed people (with ``ord``: their order of entry), a table that is cheap to read again. Board and executive panels hang under the
     root, other departments under the executive panel if there is one. Of people with one id the first gives the node."""
     spark = placed.sparkSession
     p = leaves(placed)
