@@ -125,6 +125,7 @@ class Reference:
         self.ranks = ranks
         self.by_first: dict[str, list[str]] = defaultdict(list)
         self.shortened: dict[str, set[str]] = defaultdict(set)
+        self.longest = max(map(len, self.vocabulary), default=0)
         for w in self.vocabulary:
             self.by_first[w[0]].append(w)
             for x in _shortened(w):
@@ -159,6 +160,8 @@ class Reference:
     def like(self, w: str) -> bool:
         """Whether a word of the list is at most one edit (from seven letters on, two) from ``w``."""
         most = 1 if len(w) < 7 else 2
+        if len(w) > self.longest + most:
+            return False
         return w in self.vocabulary or any(_near(w, v, most) for v in {v for x in _shortened(w) for v in self.shortened.get(x, ())})
 
     def read(self, s: str) -> list[str]:
@@ -268,7 +271,7 @@ def map_values(df: DataFrame, reference: DataFrame, id_col: str = "row_id", valu
 
     @F.pandas_udf("array<string>")
     def read(s: pd.Series) -> pd.Series:
-        return pd.Series([b.value.read(x[:2000] if len(x) > 2000 else x) for x in s], dtype=object)
+        return pd.Series([b.value.read(x) for x in s], dtype=object)
 
     raw = entries.select(F.col("title_raw").alias("v")).filter("v is not null").distinct()
     rows = df.select(F.col(id_col).alias("row_id"), F.col(value_col).alias("v")).filter(~is_blank("v")).join(F.broadcast(raw), "v", "left_anti")
@@ -276,7 +279,7 @@ def map_values(df: DataFrame, reference: DataFrame, id_col: str = "row_id", valu
     forms = cut(typed.select(F.explode("forms").alias("l")).distinct())
     variants = spark.createDataFrame(sorted(ref.of.items()) or [("", "")], "r string, t string")
     same = forms.join(F.broadcast(variants), F.col("l") == F.col("r")).select("l", "t", F.lit(0).alias("edits"), F.lit(1.0).alias("jaccard"), "r")
-    rest = forms.join(F.broadcast(variants), F.col("l") == F.col("r"), "left_anti").filter(F.length("l") <= 200)
+    rest = forms.join(F.broadcast(variants), F.col("l") == F.col("r"), "left_anti").filter(F.length(_squash("l")) <= max(map(len, ref.of), default=0) + 4)  # longer ones are more than four edits from every variant
     near = similar_pairs(rest, variants.select("r"), broadcast_right=True)
     most = F.least(F.lit(4), F.floor(F.length(_squash("r")) / 7))
     near = near.filter(F.col("edits") <= most).join(F.broadcast(variants), "r").select("l", "t", "edits", "jaccard", "r")
