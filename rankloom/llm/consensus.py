@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -147,11 +148,13 @@ def reach_consensus(df: DataFrame, least_analysts: int = 3, rounds: int = ROUNDS
             )
         )
         # the classifier, on a bounded sample of items chosen by hash
-        sample = q.orderBy(F.xxhash64("node_id", "field"), "node_id", "field").limit(sample_items).select("field", "x", "q").toPandas()
+        sample = q.orderBy(F.xxhash64("node_id", "field"), "node_id", "field").limit(sample_items).select("field", "x", "q").toArrow()
         for t in tasks:
-            own = sample[sample["field"] == t]
-            if len(own):
-                weights[t] = _fit_softmax(np.array(own["x"].tolist()), np.array(own["q"].tolist()), width, weights[t])
+            own = sample.filter(pc.equal(sample["field"], t))
+            if own.num_rows:  # straight into arrays, without an object per number
+                flat = [pc.list_flatten(own[c].combine_chunks()).to_numpy(zero_copy_only=False).reshape(own.num_rows, -1) for c in ("x", "q")]
+                weights[t] = _fit_softmax(*flat, width, weights[t])
+        del sample
         # E step
         gain = labels.join(like.select("field", "analyst", "c", "ll"), ["field", "analyst", "c"]).groupBy("node_id", "field").agg(*[F.sum(F.col("ll")[i]).alias(f"s{i}") for i in range(k)])
         z = (
