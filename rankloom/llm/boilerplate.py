@@ -1,26 +1,32 @@
 """The main body of pages, without site furniture.
 
 Template deduction by equivalence classes. Lines are tokens, freed of numbers, list marks and the page's own firm and
-person. Per host, tokens that occur on exactly the same set of pages (the same occurrence vector) form a class; a class
-with enough tokens and pages, whose tokens keep their order, is valid and nests into the host's template. Occurrence
-vectors are compared as sums of page hashes, so that a host of any size is aggregated without collecting its pages.
-Tokens of the template are furniture, unless their wording is that of a body (sentences, headings of persons).
-
-Most hosts have but one or two pages, too few to deduce a template. There the roles of tokens come from fixed word
-lists of furniture in four languages and from a token's neighbours: a short line amid menu entries is one of them, a
-sentence amid teasers is one. The rest are the slots: the page's main body.
+person; the second line of one wording on a page is another token than the first. Per host, tokens that occur on
+exactly the same set of pages (the same occurrence vector) form a class; a class is valid if it has enough tokens, if
+enough of its pages differ in what stands beside it, and if its tokens keep their order and their gaps in wider
+classes (see ``host_templates``). Occurrence vectors are compared as sums of page hashes, so that a host of any size is
+aggregated without collecting its pages. Lines of the template are furniture, unless their wording is that of a body
+(sentences, headings of persons).
+
+Most hosts have but one or two pages, too few to deduce a template. On every page the roles of further tokens come from
+fixed word lists of furniture in four languages and from a token's neighbours: a short line amid menu entries is one of
+them, a sentence amid teasers is one. The rest are the slots: the page's main body.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from rankloom.functions.text import is_blank
+from rankloom.session import cut
 
 #: Least tokens and pages of a valid class.
 CLASS_TOKENS, CLASS_PAGES = 4, 3
@@ -125,8 +131,12 @@ def line_kind(line: str, firm: str | None) -> str:
     return ""
 
 
-def body_lines(text: str, firm: str | None, person: str | None, template: frozenset | set = frozenset()) -> list[int]:
-    """Numbers, from 1, of a page's non-blank lines that belong to its main body. ``template``: numbers of lines of the host's template."""
+def body_lines(text: str, firm: str | None, person: str | None, template: frozenset | set = frozenset(), slotted: frozenset | set = frozenset()) -> list[int]:
+    """Numbers, from 1, of a page's non-blank lines that belong to its main body.
+
+    ``template``: numbers of lines of the host's template, whatever their wording; ``slotted``: of those whose numbers
+    or names differ between the host's pages, so that a sentence, heading or long line is content.
+    """
     lines = text.split("\n")
     rows = [(i, l, *strip_mark(l)) for i, l in enumerate(lines, 1) if l.strip() and l.strip().lower() != "nan"]
     kinds = [line_kind(l, firm) for _, l, _, _ in rows]
@@ -177,7 +187,7 @@ def body_lines(text: str, firm: str | None, person: str | None, template: frozen
     for (i, line, style, rest), kind in zip(rows, kinds):
         if kind:
             continue
-        if i in template and not _SENTENCE.search(rest) and not heading(rest) and len(rest) < 80:
+        if (i in template or i in slotted) and not _SENTENCE.search(rest) and not heading(rest) and len(rest) < 80:
             continue
         out.append(i)
     return out
@@ -188,20 +198,83 @@ def _tokens_udf():
         for pdf in batches:
             out = []
             for e, host, page, text, firm, person in zip(pdf["entry_id"], pdf["host"], pdf["page"], pdf["text"], pdf["firm"], pdf["name"]):
+                before: Counter = Counter()
                 for i, line in enumerate(text.split("\n"), 1):
                     if line.strip():
-                        out.append((e, host, page, i, token(line, firm, person)))
-            yield pd.DataFrame(out, columns=["entry_id", "host", "page", "line_no", "token"])
+                        t = token(line, firm, person)
+                        before[t] += 1
+                        raw = re.sub(r"\s+", " ", strip_mark(line)[1].lower())
+                        out.append((e, host, page, i, t, before[t], raw, bool(person and len(person) > 3 and person.lower() in raw), bool(line_kind(line, firm))))
+            yield pd.DataFrame(out, columns=["entry_id", "host", "page", "line_no", "token", "nth", "raw", "named", "listed"])
 
     return tokens
 
 
-def host_templates(pages: DataFrame) -> DataFrame:
-    """``host, token`` of each host's template, from ``host, page`` (hash of the address) and ``token``, ``line_no`` per line."""
-    seen = pages.filter("token <> ''").groupBy("host", "token", "page").agg(F.min("line_no").alias("at"))
-    vectors = seen.groupBy("host", "token").agg(F.count(F.lit(1)).alias("pages"), F.sum(F.xxhash64("page").cast("decimal(38,0)")).alias("vector"), F.avg("at").alias("at")).filter(F.col("pages") >= CLASS_PAGES)
-    classes = vectors.groupBy("host", "pages", "vector").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= CLASS_TOKENS)
-    return vectors.join(classes.select("host", "pages", "vector"), ["host", "pages", "vector"]).select("host", "token")
+def in_order(ranks: list[int]) -> list[int]:
+    """A longest rising part of a page's tokens, given as ranks in the class's usual order."""
+    ends: list[int] = []  # by length of the part, its least last rank
+    best: list[list] = []
+    for r in ranks:
+        i = bisect.bisect_left(ends, r)
+        part = [r, best[i - 1] if i else None]
+        if i == len(ends):
+            ends.append(r)
+            best.append(part)
+        else:
+            ends[i], best[i] = r, part
+    out, part = [], best[-1] if best else None
+    while part:
+        out.append(part[0])
+        part = part[1]
+    return out[::-1]
+
+
+def _large(tokens: DataFrame) -> DataFrame:
+    """Tokens of classes that still have enough of them."""
+    return tokens.join(tokens.groupBy("host", "cls").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= CLASS_TOKENS).select("host", "cls"), ["host", "cls"], "left_semi")
+
+
+def host_templates(lines: DataFrame) -> DataFrame:
+    """``host, token, slotted`` of each host's template.
+
+    ``lines`` has ``host, page`` (hash of the address), ``line_no``, ``token`` (with how often the page has had it), ``raw`` (the line as it stands), ``named``
+    (it holds the page's person) and ``listed`` (the word lists know it). A class is tokens of one occurrence vector:
+
+    - its pages must differ: at least ``CLASS_PAGES`` of them have other lines beside it that fewer pages have, so
+      copies of one text under several addresses aren't taken for pages of a template;
+    - its tokens keep their order: those that leave it on some page drop out;
+    - it nests: a token drops out if it stands in different gaps of a wider class that all its pages have.
+    """
+    lines = lines.filter("token is not null")
+    seen = lines.groupBy("host", "token", "page").agg(F.min("line_no").alias("at"))
+    vectors = seen.groupBy("host", "token").agg(F.count(F.lit(1)).alias("pages"), F.sum(F.xxhash64("page").cast("decimal(38,0)")).alias("vector"), F.avg("at").alias("mean"))
+    usual = Window.partitionBy("host", "cls").orderBy("mean", "token")
+    classes = _large(vectors.filter(F.col("pages") >= CLASS_PAGES).withColumn("cls", F.xxhash64("pages", "vector"))).select("host", "cls", "token", "pages", F.row_number().over(usual).alias("rank"))
+    placed = cut(seen.join(classes, ["host", "token"]).select("host", "page", "cls", "pages", "token", "rank", "at"))
+    # what a page has beside the class: lines that fewer pages have, be it with other numbers; another person makes another line
+    raws = lines.groupBy("host", "raw").agg(F.countDistinct("page").alias("r"))
+    beside = (
+        lines.filter("not listed").select("host", "page", "token", "raw", "named").distinct().join(raws, ["host", "raw"]).join(vectors.select("host", "token", F.col("pages").alias("t")), ["host", "token"])
+        .select("host", "page", "raw", F.when(F.col("named"), F.col("r")).otherwise(F.greatest("r", "t")).alias("most")).distinct()
+    )
+    pages_of = placed.select("host", "page", "cls", "pages").distinct()
+    contents = pages_of.join(beside, ["host", "page"]).filter("most < pages").groupBy("host", "cls", "page").agg(F.sum(F.col("raw").cast("decimal(38,0)")).alias("content"))
+    differ = contents.groupBy("host", "cls").agg(F.countDistinct("content").alias("n")).filter(F.col("n") >= CLASS_PAGES).select("host", "cls")
+    placed = placed.join(differ, ["host", "cls"], "left_semi")
+
+    @F.pandas_udf("array<int>")
+    def ordered(ranks: pd.Series) -> pd.Series:
+        return pd.Series([in_order(list(r)) for r in ranks], dtype=object)
+
+    ranks = placed.groupBy("host", "cls", "pages", "page").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "rank"))), lambda x: x["rank"]).alias("ranks"))
+    kept = ranks.select("host", "cls", "pages", F.explode(ordered("ranks")).alias("rank")).groupBy("host", "cls", "pages", "rank").agg(F.count(F.lit(1)).alias("n")).filter("n = pages")
+    placed = cut(placed.join(_large(kept).select("host", "cls", "rank"), ["host", "cls", "rank"], "left_semi"))
+    wider = placed.groupBy("host", "page", F.col("cls").alias("w_cls"), F.col("pages").alias("w_pages")).agg(F.collect_list("at").alias("ats"))
+    gaps = placed.join(wider, ["host", "page"]).filter("w_pages > pages").select("host", "cls", "pages", "token", "w_cls", F.size(F.filter("ats", lambda a: a < F.col("at"))).alias("gap"))
+    moved = gaps.groupBy("host", "cls", "pages", "token", "w_cls").agg(F.count(F.lit(1)).alias("n"), F.min("gap").alias("g"), F.max("gap").alias("h")).filter("n = pages and g < h").select("host", "cls", "token").distinct()
+    valid = _large(placed.select("host", "cls", "token").distinct().join(moved, ["host", "cls", "token"], "left_anti"))
+    variety = lines.groupBy("host", "token").agg((F.min("raw") < F.max("raw")).alias("slotted"))
+    return valid.select("host", "token").join(variety, ["host", "token"])
 
 
 def main_bodies(df: DataFrame) -> DataFrame:
@@ -214,11 +287,15 @@ def main_bodies(df: DataFrame) -> DataFrame:
     host = F.regexp_extract(F.lower("source_url"), r"^\s*[a-z][a-z0-9+.-]*://(?:www\.)?([^/?#:\s]+)", 1)
     pages = df.filter(~is_blank("raw_evidence")).select("entry_id", F.nullif(host, F.lit("")).alias("host"), F.xxhash64(F.regexp_replace(F.lower("source_url"), r"^\s*[a-z]+://(www\.)?|/+\s*$", "")).alias("page"), F.col("raw_evidence").alias("text"), "firm", "name")
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tokens = pages.filter("host is not null").mapInPandas(_tokens_udf(), "entry_id long, host string, page long, line_no int, token string")
-    marked = tokens.join(host_templates(tokens), ["host", "token"], "left_semi").groupBy("entry_id").agg(F.collect_set("line_no").alias("template"))
+    several = pages.filter("host is not null").groupBy("host").agg(F.countDistinct("page").alias("n")).filter(F.col("n") >= CLASS_PAGES).select("host")
+    lines = pages.join(several, "host", "left_semi").select("entry_id", "host", "page", "text", "firm", "name").mapInPandas(_tokens_udf(), "entry_id long, host string, page long, line_no int, token string, nth int, raw string, named boolean, listed boolean")
+    lines = cut(lines.select("entry_id", F.xxhash64("host").alias("host"), "page", "line_no", F.when(F.col("token") != "", F.xxhash64("token", "nth")).alias("token"), F.xxhash64("raw").alias("raw"), "named", "listed"))
+    of = lambda slotted: F.collect_set(F.when(F.col("slotted") == slotted, F.col("line_no")))
+    marked = lines.join(host_templates(lines), ["host", "token"]).groupBy("entry_id").agg(of(False).alias("template"), of(True).alias("slotted"))
 
     @F.pandas_udf("array<int>")
-    def bodies(text: pd.Series, firm: pd.Series, name: pd.Series, template: pd.Series) -> pd.Series:
-        return pd.Series([body_lines(t, f, p, frozenset(m) if m is not None else frozenset()) for t, f, p, m in zip(text, firm, name, template)], dtype=object)
+    def bodies(text: pd.Series, firm: pd.Series, name: pd.Series, template: pd.Series, slotted: pd.Series) -> pd.Series:
+        as_set = lambda m: frozenset(m) if m is not None else frozenset()
+        return pd.Series([body_lines(t, f, p, as_set(m), as_set(s)) for t, f, p, m, s in zip(text, firm, name, template, slotted)], dtype=object)
 
-    return pages.repartition(n, "entry_id").join(marked, "entry_id", "left").select("entry_id", F.explode(bodies("text", "firm", "name", "template")).alias("line_no")).distinct()
+    return pages.repartition(n, "entry_id").join(marked, "entry_id", "left").select("entry_id", F.explode(bodies("text", "firm", "name", "template", "slotted")).alias("line_no")).distinct()

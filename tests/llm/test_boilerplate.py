@@ -49,3 +49,39 @@ def test_templates_of_a_host(spark):
     assert all(sorted(got[100 + i]) == [1, 2, 3, 4] for i in range(4))
     assert sorted(got[205]) == BODY and got[204] == [1] and got[206] == [1] and not {200, 201, 202, 203} & set(got)
     assert b.main_bodies(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def bodies(spark, texts):
+    rows = [(i, t, f"https://quarx.example/p/{i}", "Quarx AG", f"Person{i} Xyz", "", "") for i, t in enumerate(texts)]
+    got = {i: [] for i in range(len(rows))}
+    for r in b.main_bodies(spark.createDataFrame(rows, SCHEMA)).collect():
+        got[r.entry_id].append(r.line_no)
+    return [sorted(x) for x in got.values()]
+
+
+def test_copies_of_a_text_are_no_template(spark):
+    """Headings of an article under four addresses (once printed, once from an archive) are its body; the host's menu isn't."""
+    menu = ["Zum Kranfeld", "Quarx Rand", "Ofenplatz", "Blubb Zentrale"]
+    article = ["Grid works", "Short heading", "First item", "Second item", "It was built in Cork."]
+    copies = [menu + article, menu + article, article + ["Printed 3.5.2020"], menu + ["From the archive"] + article]
+    others = [[*menu, f"Other heading {c}", f"Other text {c}."] for c in "abcde"]
+    got = bodies(spark, ["\n".join(x) for x in copies + others])
+    assert got[:2] == [[5, 6, 7, 8, 9]] * 2 and got[2][:5] == [1, 2, 3, 4, 5] and got[3][-5:] == [6, 7, 8, 9, 10]
+    assert got[4:] == [[5, 6]] * 5
+
+
+def test_lines_that_move_are_no_template(spark):
+    menu = ["Zum Kranfeld", "Quarx Rand", "Ofenplatz", "Blubb Zentrale"]
+    moving = ["Wide works", "Turning heads", "Held items", "Kept rows"]
+    turned = ["\n".join([*menu, *(moving if i % 2 else moving[::-1]), f"Text {c}."]) for i, c in enumerate("abcdef")]
+    assert all(x[-1] == 9 and len(x) >= 4 and min(x) >= 5 for x in bodies(spark, turned))  # one of the four may hold the order
+    assert b.in_order([1, 2, 3]) == [1, 2, 3] and len(b.in_order([3, 1, 2])) == 2 and b.in_order([]) == []
+
+
+def test_classes_nest_by_position(spark):
+    """A section's lines that stand now above, now below the host's menu aren't part of a template."""
+    menu = ["Zum Kranfeld", "Quarx Rand", "Ofenplatz", "Blubb Zentrale"]
+    part = ["Wide works", "Turning heads", "Held items", "Kept rows"]
+    texts = [part + menu if i % 2 else menu + part for i in range(6)] + [menu] * 4
+    got = bodies(spark, ["\n".join([*x, f"Text {c}."]) for x, c in zip(texts, "abcdefghij")])
+    assert got == [[1, 2, 3, 4, 9] if i % 2 else [5, 6, 7, 8, 9] for i in range(6)] + [[5]] * 4
