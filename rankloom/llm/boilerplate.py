@@ -5,8 +5,8 @@ person; the second line of one wording on a page is another token than the first
 exactly the same set of pages (the same occurrence vector) form a class; a class is valid if it has enough tokens, if
 enough of its pages differ in what stands beside it, and if its tokens keep their order and their gaps in wider
 classes (see ``host_templates``). Occurrence vectors are compared as sums of page hashes, so that a host of any size is
-aggregated without collecting its pages. Lines of the template are furniture, unless their wording is that of a body
-(sentences, headings of persons).
+aggregated without collecting its pages. Lines of the template are furniture, whatever their wording; only where
+numbers or names in them differ from page to page are sentences, headings and long lines content.
 
 Most hosts have but one or two pages, too few to deduce a template. On every page the roles of further tokens come from
 fixed word lists of furniture in four languages and from a token's neighbours: a short line amid menu entries is one of
@@ -187,7 +187,7 @@ def body_lines(text: str, firm: str | None, person: str | None, template: frozen
     for (i, line, style, rest), kind in zip(rows, kinds):
         if kind:
             continue
-        if (i in template or i in slotted) and not _SENTENCE.search(rest) and not heading(rest) and len(rest) < 80:
+        if i in template or (i in slotted and not _SENTENCE.search(rest) and not heading(rest) and len(rest) < 80):
             continue
         out.append(i)
     return out

@@ -59,6 +59,13 @@ def bodies(spark, texts):
     return [sorted(x) for x in got.values()]
 
 
+def test_templates_take_lines_of_any_wording(spark):
+    notice = "Wszelkie prawa zastrzeżone."
+    long = "Quarx jest znakiem towarowym, którego nie wolno używać bez zgody właściciela, w kraju ani poza krajem"
+    texts = [f"Zum Kranfeld\nQuarx Rand\nBiography\nText {'abcdef'[i]} of this page.\nPerson{i} Xyz leads team {i}.\n{notice}\n{long}" for i in range(6)]
+    assert bodies(spark, texts) == [[4, 5]] * 6
+
+
 def test_copies_of_a_text_are_no_template(spark):
     """Headings of an article under four addresses (once printed, once from an archive) are its body; the host's menu isn't."""
     menu = ["Zum Kranfeld", "Quarx Rand", "Ofenplatz", "Blubb Zentrale"]
