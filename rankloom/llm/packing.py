@@ -1,9 +1,8 @@
 """Packing of texts into containers of a fixed number of tokens.
 
 The plan is made on the histogram of sizes, which has at most ``capacity`` entries however many texts there are.
-Sizes are routed to tiers (capacity, a half, a quarter, ...), and the tiers are packed from the longest: a tier's
-items first fill the gaps that longer tiers left, in the smallest gap that holds them, and what remains opens new
-containers. Containers of equal content are one entry of the plan with a multiplicity, so the plan stays small.
+It is plain best-fit decreasing: sizes are taken from the longest, fill the smallest gap that holds them, and what
+remains opens new containers. Tiers (capacity, a half, a quarter, ...) only label sizes; the packing is the same without. Containers of equal content are one entry of the plan with a multiplicity, so the plan stays small.
 Texts are then numbered within their size, in parallel and without sorting the corpus, and looked up in the plan.
 """
 
