@@ -1,213 +1,98 @@
 """The main body of pages, without site furniture.
 
-Template deduction by equivalence classes. Lines are tokens, freed of numbers, list marks and the page's own firm and
-person; the second line of one wording on a page is another token than the first. Per host, tokens that occur on
-exactly the same set of pages (the same occurrence vector) form a class; a class is valid if it has enough tokens, if
-enough of its pages differ in what stands beside it, and if its tokens keep their order and their gaps in wider
-classes (see ``host_templates``). Occurrence vectors are compared as sums of page hashes, so that a host of any size is
-aggregated without collecting its pages. Lines of the template are furniture, whatever their wording; only where
-numbers or names in them differ from page to page are sentences, headings and long lines content.
-
-Most hosts have but one or two pages, too few to deduce a template. On every page the roles of further tokens come from
-fixed word lists of furniture in four languages and from a token's neighbours: a short line amid menu entries is one of
-them, a sentence amid teasers is one. The rest are the slots: the page's main body.
+Template deduction by equivalence classes. Lines are tokens, freed of numbers and of the page's own firm; the second
+line of one wording on a page is another token than the first. Pages of one host are dealt into groups of about
+``GROUP``, so that a host of any size is worked on in bounded pieces, and a cut or changed page spoils but its own
+group. In a group, tokens of the same occurrence vector form a class. A class joins the group's template if it has
+enough tokens and pages, if enough of its pages differ in the rarer lines beside it (copies of one text don't), if its
+tokens keep their order on every page, and if they keep their gap within every wider class they are nested in.
+Lines of the template are furniture whatever their wording; a line that names the page's own person is a slot.
+
+What the templates leave are slots: the main body, but also teasers, notices put in at random and furniture of hosts
+with too few pages. Which slot is which is learned from the templates, no wording being given. Over the whole corpus,
+each skeleton (a line with numbers, names and capitalised words left open) is counted: how often it stands between
+lines of a template. Skeletons that do are furniture; those that recur and never do are content. With these and the
+templates as labels, a model of three roles (furniture, teaser, content) in sequence is fitted by expectation
+maximisation on a bounded sample of pages: a softmax over the words and form of a line, and transitions between roles.
+It gives every line of every page its most probable role; template lines stay what they are.
 """
 
 from __future__ import annotations
 
 import bisect
 import re
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from hashlib import blake2b
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from rankloom.functions.text import is_blank
 from rankloom.session import cut
 
-#: Least tokens and pages of a valid class.
-CLASS_TOKENS, CLASS_PAGES = 4, 3
-
-#: Wordings of furniture, by kind, folded to lower case.
-NAV = frozenset(
-    "home|about us|about|search|careers|contact|investors|governance|sustainability|leadership|research|our people|people|annual report|locations|login|newsroom|media library|suppliers|products|events|board of directors|menu|press|news|privacy|faq|blog|services|solutions|shop|help|support|"
-    "startseite|über uns|suche|karriere|kontakt|presse|investoren|standorte|nachhaltigkeit|aufsichtsrat|vorstand|produkte|unternehmen|"
-    "accueil|le groupe|gouvernance|nos équipes|carrières|investisseurs|recherche|engagements|actualités|produits|"
-    "inicio|quiénes somos|gobierno corporativo|equipo directivo|sala de prensa|empleo|inversores|contacto|buscar|sostenibilidad|productos".split("|")
-)
-BUTTONS = frozenset(
-    "accept all|reject|reject all|got it|only necessary|manage preferences|cookie settings|agree|ok|alle akzeptieren|nur notwendige|einstellungen|ablehnen|aceptar todo|rechazar|configurar|tout accepter|tout refuser|paramétrer|accept|decline".split("|")
-)
-TOOLS = re.compile(
-    r"^(?:skip to main content|menu|loading(?:…|\.\.\.)?|advertisement|anzeige|publicité|publicidad|text size( a)*|select language.*|print( \| email.*)?|email|save as pdf|share this page|download vcard|log in to see.*|was this page helpful.*|yes no|your browser is out of date.*|page \d+ of \d+|« ?(?:previous)?.*next ?»|previous|next|\d+ comments?|share price delayed.*|"
-    r"back to top.*|haut de page|nach oben|volver arriba|follow us.*|suivez-nous|folgen sie uns|síganos|linkedfeed|chatbird|vidtube|enter your email address|subscribe to our newsletter.*|stay in touch.*|read more ?»?|site ?map|plan du site|mapa del sitio|imprint|impressum|datenschutz|agb|accessibility|barrierefreiheit|privacy notice|terms of use|"
-    r"mentions légales.*|données personnelles|aviso legal.*|política de privacidad|modern slavery statement|designed and hosted.*|this site is protected.*|(?:copyright|©|\(c\)).*|.*all rights reserved\.?|.*alle rechte vorbehalten\.?|.*tous droits réservés\.?|.*todos los derechos reservados\.?|"
-    r"registered office.*|company no\..*|switchboard.*|info@.*|siège social.*|sitz der gesellschaft.*|domicilio social.*|hrb \d+|you are here.*|vous êtes ici.*|sie sind hier.*|usted está aquí.*|[a-z]{2}( [a-z]{2}){1,5})$"
-)
-COOKIES = re.compile(
-    r"\b(?:cookies?|traceurs|rastreadores|browse you agree|use small files|stores? small files|kleine dateien|setzen tracker|optional trackers|archivos en su dispositivo|respecte votre vie privée|privacy matters to us|datenschutz ist uns wichtig|su privacidad)\b"
-)
-#: Headings over teasers, and teasers.
-TEASER_HEADS = re.compile(
-    r"^(?:you may also like|related articles|most read|quick links|latest press releases|upcoming dates|in this section|more from .*|à lire aussi|nos actualités|les plus lus|das könnte sie auch interessieren|aktuelle meldungen|meistgelesen|también le puede interesar|últimas noticias|lo más leído)$"
-)
-TEASERS = re.compile(
-    r"^(?:half-year figures.*|video: .*|\d+ questions for .*|\d+ \w+ \d+ +dividend approved|webcast replay.*|\w+ \d+ – .* wins supplier award|photo gallery.*|how .* became everyone's job|.* speaks at the .* forum|open roles in .*|.* opens a new site in .*|why .* roles are hard to fill|read more.*)$"
-)
-CUT_OFF = re.compile(r"(?:…|\.\.\.|\[…\]|\[\.\.\.\])\s*(?:read more ?»?|lire la suite|weiterlesen|leer más)?$")
-SELF = re.compile(r"brings? together \d[\d.,]* brands|is a leading provider of .* (?:employees|sites)|^founded in \d+, .* serves customers|statements about the future are subject|^for more, visit \S+$")
-#: Headings of bodies.
-BODY_HEADS = frozenset("biography|career|board of directors|executive committee|audit committee|risk and capital committee|nomination committee|engagements|privacy steering committee (chair)|profile|education|mandates|memberships".split("|"))
-_MARK = re.compile(r"^\s*(?:<li>\s*(?:<a [^>]*>)?|[•\-–*·▪]\s+|\d+[.)]\s+)?")
-_SEPARATORS = re.compile(r"\s+[|·–/>›»]\s+|\s{2,}|\]\s*\[")
-_SENTENCE = re.compile(r"[.!?。»”]['\")]*$")
-
-
-def strip_mark(line: str) -> tuple[str, str]:
-    """A line's list mark or tag, and the rest."""
-    s = line.strip()
-    m = _MARK.match(s)
-    rest = re.sub(r"</?(?:li|a)\b[^>]*>", "", s[m.end() :]).strip()
-    style = m.group().strip()[:3]
-    return ("<li" if s.startswith("<li") else style if style[:1] in "•-–*·▪" else ""), rest
+#: Least tokens and pages of a class; pages of a host dealt into one group.
+CLASS_TOKENS, CLASS_PAGES, GROUP = 3, 3, 16
+#: Bounds of the labelled sample: pages, and characters of a page.
+SAMPLE_PAGES, SAMPLE_CHARS = 3_000, 20_000
+#: A skeleton is furniture from this share of occurrences between template lines, content below the second (both among ``RECURS`` or more).
+BETWEEN, NEVER, RECURS, CASES = 0.05, 0.02, 6, 3
+#: Slots of the hashed features, rounds of expectation maximisation, steps of a fit, its penalty.
+BUCKETS, ROUNDS, STEPS, PENALTY = 1 << 17, 3, 40, 2e-6
+FURNITURE, TEASER, CONTENT = 0, 1, 2
+
+_WORD = re.compile(r"\w+|[^\w\s]+")
+_NUMBER = re.compile(r"\d[\d.,]*")
+#: A line that breaks off, perhaps with a link of two words behind.
+_CUT_OFF = re.compile(r"(?:…|\.\.\.|\[…\])\W*(?:\w+ \w+)?\W*$")
+_CACHED = 200_000  #: remembered lines of a worker; a bound of memory that changes no result
+
+
+def own_words(firm: str | None, person: str | None) -> list[tuple[str, str]]:
+    """What stands for the page's person and firm in its lines: full names and longer words of the person, the firm's first word."""
+    out = []
+    if person and len(person) > 3:
+        out += [(person, "personx")] + [(w, "personx") for w in person.split() if len(w) > 3]
+    if firm and len(firm) > 3:
+        out += [(firm, "firmx")] + [(w, "firmx") for w in firm.split()[:1] if len(w) > 3]
+    return out
 
 
-def token(line: str, firm: str | None, person: str | None) -> str:
+def token(line: str, own: list[tuple[str, str]]) -> str:
     """A line as a token of a template."""
-    s = strip_mark(line)[1].lower()
-    for x in (firm, person):
-        if x and len(x) > 3:
-            s = s.replace(x.lower(), "@")
-    return re.sub(r"\s+", " ", re.sub(r"\d[\d.,]*", "0", s)).strip()
-
-
-def _known(piece: str) -> bool:
-    p = piece.strip(" .[]|·–/»«").lower() if len(piece) < 60 else piece.lower()
-    return p in NAV or p in BUTTONS or bool(TOOLS.match(p)) or bool(TOOLS.match(piece.strip().lower()))
-
-
-def _buttons_only(s: str) -> bool:
-    for b in sorted(BUTTONS, key=len, reverse=True):
-        s = s.replace(b, "")
-    return not s.strip(" |·–/.")
-
-
-def line_kind(line: str, firm: str | None) -> str:
-    """``nav``, ``tool``, ``cookie``, ``head`` (of teasers), ``teaser``, ``self`` (a firm about itself), ``self_head`` or empty."""
-    style, rest = strip_mark(line)
-    s = re.sub(r"[ \t]+", " ", rest.lower())
-    wide = rest.lower()
-    if style == "<li" and "<a" in line:
-        return "nav"
-    if s.strip(" []") in NAV and s != "board of directors":
-        return "nav"
-    if TOOLS.match(s) or s in BUTTONS or _buttons_only(s):
-        return "tool"
-    if len(s) < 260 and COOKIES.search(s):
-        return "cookie"
-    if TEASER_HEADS.match(s):
-        return "head"
-    if TEASERS.match(s) or (len(s) < 110 and CUT_OFF.search(s)):
-        return "teaser"
-    if SELF.search(s):
-        return "self"
-    if re.fullmatch(r".{2,70} (?:at a glance|auf einen blick|en bref|de un vistazo)", s):
-        return "self_head"
-    core = (firm or "").lower().split()
-    if core and len(s) < 90:
-        name = s.removeprefix("about ").removeprefix("über ").removeprefix("à propos de ").removeprefix("acerca de ").removesuffix(" at a glance").removesuffix(" auf einen blick").removesuffix(" en bref")
-        if name != s and name.split()[:1] == core[:1]:
-            return "self_head"
-    if re.match(r"home\s*[>/›]", s):
-        return "nav"
-    pieces = [p for p in _SEPARATORS.split(wide) if p.strip(" []|·–/")]
-    if len(pieces) > 1:
-        hits = [_known(p) or bool(COOKIES.search(p)) for p in pieces]
-        if all(h or len(p.split()) <= 4 for h, p in zip(hits, pieces)) and sum(hits) * 2 >= len(pieces):
-            return "nav" if sum(p.strip(" []") in NAV for p in pieces) * 2 >= len(pieces) else "tool"
-    return ""
-
-
-def body_lines(text: str, firm: str | None, person: str | None, template: frozenset | set = frozenset(), slotted: frozenset | set = frozenset()) -> list[int]:
-    """Numbers, from 1, of a page's non-blank lines that belong to its main body.
-
-    ``template``: numbers of lines of the host's template, whatever their wording; ``slotted``: of those whose numbers
-    or names differ between the host's pages, so that a sentence, heading or long line is content.
-    """
-    lines = text.split("\n")
-    rows = [(i, l, *strip_mark(l)) for i, l in enumerate(lines, 1) if l.strip() and l.strip().lower() != "nan"]
-    kinds = [line_kind(l, firm) for _, l, _, _ in rows]
-    n = len(rows)
-    own = {w.lower() for w in (person or "").split() if len(w) > 2}
-    for j, (_, _, _, rest) in enumerate(rows):  # a heading about someone else than the page's person is about the firm
-        s = rest.lower()
-        if not kinds[j] and own and s.startswith("about ") and len(s) < 90 and not _SENTENCE.search(s[:-1]) and not own & set(re.findall(r"\w+", s)):
-            kinds[j] = "self_head"
-
-    def heading(rest: str) -> bool:
-        s = rest.lower()
-        return s in BODY_HEADS or s.removeprefix("about ").split()[-1:] != [] and bool(own & set(re.findall(r"\w+", s)))
-
-    def short(rest: str) -> bool:
-        return len(rest.split()) <= 4 and not _SENTENCE.search(rest) and not re.search(r"\d", rest)
-
-    # menu entries that no list knows: short lines next to entries of the same style
-    for order in (range(n), range(n - 1, -1, -1)):
-        for j in order:
-            if kinds[j] or not short(rows[j][3]):
-                continue
-            k = j - 1 if order.step > 0 else j + 1
-            if not 0 <= k < n or kinds[k] != "nav" or rows[k][2] != rows[j][2] or not short(rows[k][3]):
-                continue
-            rest = rows[j][3]
-            if rest.lower() == "board of directors":
-                nxt = kinds[j + 1] if j + 1 < n else ""
-                if nxt == "nav" and short(rows[j + 1][3]):
-                    kinds[j] = "nav"
-            elif not heading(rest) and rest.isupper() == rows[k][3].isupper():
-                kinds[j] = "nav"
-    # sentences among teasers, and what a firm says of itself
-    for j in range(n):
-        if kinds[j] or j == 0:
-            continue
-        i, line, style, rest = rows[j]
-        one = len(rest) < 200 and len(re.findall(r"[.!?](?=\s+[A-ZÀ-Þ„“«])", rest)) == 0
-        gap = i + 1 <= len(lines) - 1 and not lines[i].strip()
-        nxt = kinds[j + 1] if j + 1 < n else "end"
-        if kinds[j - 1] in ("head", "teaser") and one and not heading(rest) and (_SENTENCE.search(rest) or kinds[j - 1] == "head"):
-            since = next((j - k for k in range(j - 1, -1, -1) if kinds[k] == "head"), 99)
-            if since <= 4 and (nxt in ("teaser", "tool", "end", "self_head", "nav", "cookie", "head") or gap or since == 1):
-                kinds[j] = "teaser"
-        elif kinds[j - 1] == "self_head" and _SENTENCE.search(rest) and (firm or "~").lower().split()[0] in rest.lower():
-            kinds[j] = "self"
-    out = []
-    for (i, line, style, rest), kind in zip(rows, kinds):
-        if kind:
-            continue
-        if i in template or (i in slotted and not _SENTENCE.search(rest) and not heading(rest) and len(rest) < 80):
+    s = line.strip().lower()
+    for w, x in own:
+        s = s.replace(w.lower(), x)
+    return re.sub(r"\s+", " ", _NUMBER.sub("0", s)).replace("personx personx", "personx")
+
+
+def skeleton(line: str, own: list[tuple[str, str]]) -> str:
+    """A line with its numbers, names and capitalised words, but for the first word, left open."""
+    s = line.strip()
+    for w, x in own:
+        s = s.replace(w, f" {x} ")
+    out: list[str] = []
+    seen = False
+    for w in _WORD.findall(re.sub(r"\d+", "0", s)):
+        if w[0].isupper() and seen:
+            if out[-1] != "X":
+                out.append("X")
             continue
-        out.append(i)
-    return out
+        seen = seen or w[0].isalpha()
+        out.append(w.lower())
+    return " ".join(out)
 
 
-def _tokens_udf():
-    def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for e, host, page, text, firm, person in zip(pdf["entry_id"], pdf["host"], pdf["page"], pdf["text"], pdf["firm"], pdf["name"]):
-                before: Counter = Counter()
-                for i, line in enumerate(text.split("\n"), 1):
-                    if line.strip():
-                        t = token(line, firm, person)
-                        before[t] += 1
-                        raw = re.sub(r"\s+", " ", strip_mark(line)[1].lower())
-                        out.append((e, host, page, i, t, before[t], raw, bool(person and len(person) > 3 and person.lower() in raw), bool(line_kind(line, firm))))
-            yield pd.DataFrame(out, columns=["entry_id", "host", "page", "line_no", "token", "nth", "raw", "named", "listed"])
+def _id(s: str) -> int:
+    return int.from_bytes(blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
-    return tokens
+
+def non_blank(text: str) -> list[tuple[int, str]]:
+    """Numbered lines, from 1, that aren't blank."""
+    return [(i, l) for i, l in enumerate(text.split("\n"), 1) if l.strip() and l.strip().lower() != "nan"]
 
 
 def in_order(ranks: list[int]) -> list[int]:
@@ -229,73 +114,318 @@ def in_order(ranks: list[int]) -> list[int]:
     return out[::-1]
 
 
-def _large(tokens: DataFrame) -> DataFrame:
-    """Tokens of classes that still have enough of them."""
-    return tokens.join(tokens.groupBy("host", "cls").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= CLASS_TOKENS).select("host", "cls"), ["host", "cls"], "left_semi")
-
+def deduce(pages: list[tuple[object, list[tuple[str, str]]]]) -> list[set[int]]:
+    """Of each page of a group (its address, and its lines as token and raw text) the places of the lines that belong to the template."""
+    at: list[dict] = []
+    where: dict = defaultdict(int)
+    for d, (_, lines) in enumerate(pages):
+        nth: Counter = Counter()
+        places = {}
+        for j, (t, _) in enumerate(lines):
+            nth[t] += 1
+            if "personx" not in t:
+                places[t, nth[t]] = j
+                where[t, nth[t]] |= 1 << d
+        at.append(places)
+    by_vector: dict = defaultdict(list)
+    for k, v in where.items():
+        if v.bit_count() >= CLASS_PAGES:
+            by_vector[v].append(k)
+    found: list[tuple[int, list]] = []
+    marks: list[set[int]] = [set() for _ in pages]
+    for v in sorted(by_vector, key=lambda v: (-v.bit_count(), v)):
+        tokens = by_vector[v]
+        on = [d for d in range(len(pages)) if v >> d & 1]
+        if len(tokens) < CLASS_TOKENS or len({pages[d][0] for d in on}) < CLASS_PAGES:
+            continue
+        beside = set()
+        for d in on:
+            nth = Counter()
+            rest = []
+            for t, raw in pages[d][1]:
+                nth[t] += 1
+                if where.get((t, nth[t]), 0).bit_count() < v.bit_count():
+                    rest.append(raw)
+            if rest:
+                beside.add(tuple(rest))
+        if len(beside) < CLASS_PAGES:
+            continue
+        tokens = sorted(tokens, key=lambda k: at[on[0]][k])
+        rank = {k: r for r, k in enumerate(tokens)}
+        kept = set(rank.values())
+        for d in on:
+            kept &= set(in_order([rank[k] for k in sorted(tokens, key=at[d].__getitem__)]))
+        tokens = [k for k in tokens if rank[k] in kept]
+        for wide, nest in found:
+            if wide & v == v:
+                ends = [sorted(at[d][k] for k in nest) for d in on]
+                tokens = [k for k in tokens if len({bisect.bisect_left(e, at[d][k]) for d, e in zip(on, ends)}) == 1]
+        if len(tokens) >= CLASS_TOKENS:
+            found.append((v, tokens))
+            for d in on:
+                marks[d].update(at[d][k] for k in tokens)
+    return marks
+
+
+_MARKED = "entry_id long, host long, text string, firm string, name string, pages int, template array<boolean>, skeletons array<long>, cut_off array<boolean>"
+
+
+def _template_udf(templates: bool):
+    """Rows sorted by group in, marked rows out; a group is held whole, and it is bounded by how pages are dealt."""
+
+    def finish(rows: list) -> list:
+        seen, pages, out = set(), [], []
+        for r in rows:
+            if (r.entry_id, r.text) not in seen:
+                seen.add((r.entry_id, r.text))
+                pages.append(r)
+        lines = [[l for _, l in non_blank(r.text)] for r in pages]
+        own = [own_words(r.firm, r.name) for r in pages]
+        several = len({r.page for r in pages}) if pages and pages[0].host is not None else 0
+        if templates and several >= CLASS_PAGES:
+            marks = deduce([(r.page, [(token(l, o), l) for l in ls]) for r, ls, o in zip(pages, lines, own)])
+        else:
+            marks = [set() for _ in pages]
+        for r, ls, o, m in zip(pages, lines, own, marks):
+            learn = bool(m)
+            out.append((r.entry_id, r.host, r.text, r.firm, r.name, several, [j in m for j in range(len(ls))], [_id(skeleton(l, o)) for l in ls] if learn else [], [bool(_CUT_OFF.search(l)) and len(l) > 25 for l in ls] if learn else []))
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, key, done = [], None, []
+        columns = [c.split()[0] for c in _MARKED.split(", ")]
+        for pdf in batches:
+            pdf = pdf.astype(object).where(pdf.notna(), None)
+            for r in pdf.itertuples(index=False):
+                if (r.host, r.g) != key:
+                    done += finish(held)
+                    held, key = [], (r.host, r.g)
+                held.append(r)
+                if len(done) >= 2_000:
+                    yield pd.DataFrame(done, columns=columns)
+                    done = []
+        done += finish(held)
+        if done:
+            yield pd.DataFrame(done, columns=columns)
+
+    return run
+
+
+def features(line: str, own: list[tuple[str, str]]) -> np.ndarray:
+    """Hashed features of a line: its words, pairs of words, wording as a whole, and form."""
+    s, t, k = line.strip(), token(line, own), skeleton(line, own)
+    w = k.split(" ")
+    last = k[-1:]
+    end = "cut" if _CUT_OFF.search(s) else "." if last in tuple(".!?。»”\"") else "w" if last.isalnum() else "c"
+    size = int(np.log2(len(s) + 1) * 1.5)
+    f = ["L%d" % size, "E" + end, "LE%d%s" % (size // 2, end), "S" + (s[0] if not s[0].isalnum() else "a"), "U" if s.isupper() else "u", "T" + k, "t" + t, "1" + " ".join(w[:2]), "2" + " ".join(w[-2:])]
+    if "personx" in k:
+        f.append("P")
+    if "firmx" in k:
+        f.append("F")
+    f += ["w" + x for x in set(w)]
+    f += ["b" + x + " " + y for x, y in set(zip(w, w[1:]))]
+    return np.fromiter((zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in f), np.int64, len(f))
+
+
+def place_features(j: int, n: int, gap: bool) -> list[int]:
+    """Features of a line's place on its page."""
+    return [zlib.crc32(x) % BUCKETS for x in (b"top%d" % min(j, 4), b"end%d" % min(n - 1 - j, 4), b"gap%d" % gap)]
+
+
+def forward_backward(em: np.ndarray, starts: np.ndarray, step: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Posteriors of the roles of all lines of many pages at once (``starts``: first lines, then the number of lines), and expected transitions."""
+    size = np.diff(starts)
+    order = np.argsort(-size, kind="stable")
+    begin, size = starts[:-1][order], size[order]
+    alpha, beta, c = np.empty_like(em), np.ones_like(em), np.ones(len(em))
+    longest = int(size[0]) if len(size) else 0
+    active = np.searchsorted(-size, -np.arange(longest), side="left")  # pages longer than t
+    for t in range(longest):
+        i = begin[: active[t]] + t
+        v = em[i] * (first if t == 0 else alpha[i - 1] @ step)
+        c[i] = v.sum(1)
+        alpha[i] = v / c[i, None]
+    moves = np.zeros_like(step)
+    for t in range(longest - 2, -1, -1):
+        i = begin[: active[t + 1]] + t
+        nxt = em[i + 1] * beta[i + 1] / c[i + 1, None]
+        beta[i] = nxt @ step.T
+        moves += (alpha[i].T @ nxt) * step
+    post = alpha * beta
+    return post / post.sum(1, keepdims=True), moves
+
+
+class Roles:
+    """The fitted model of roles."""
+
+    def __init__(self, weights: np.ndarray, prior: np.ndarray, step: np.ndarray, first: np.ndarray):
+        self.weights, self.prior, self.step, self.first = weights, prior, step, first
+
+    def emissions(self, z: np.ndarray) -> np.ndarray:
+        p = np.exp(z - z.max(1, keepdims=True))
+        return p / p.sum(1, keepdims=True) / self.prior + 1e-12
+
+
+def _flat(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = np.array([len(x) for x in parts])
+    row = np.repeat(np.arange(len(parts)), n)
+    return np.concatenate(parts), row, (3 / np.sqrt(n))[row]
+
+
+def _fit(index, row, value, target, weights) -> np.ndarray:
+    """Softmax regression by adaptive gradient steps; returns the probabilities, changes the weights."""
+    n, k = target.shape
+    grown = np.full(weights.shape, 1e-9)
+    for _ in range(STEPS):
+        z = np.stack([np.bincount(row, weights[index, s] * value, n) for s in range(k)], 1)
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        d = p - target
+        for s in range(k):
+            g = np.bincount(index, d[row, s] * value, BUCKETS) / n + PENALTY * weights[:, s]
+            grown[:, s] += g * g
+            weights[:, s] -= 0.5 * g / np.sqrt(grown[:, s])
+    return p
+
+
+def learn_roles(sample: pd.DataFrame, furniture: set[int], content: set[int]) -> Roles | None:
+    """Fit the roles on marked pages; ``furniture`` and ``content`` are skeletons so labelled. None without pages."""
+    parts, starts, tpl, cut_off, fur, con, long = [], [0], [], [], [], [], []
+    for r in sample.itertuples(index=False):
+        lines, own = non_blank(r.text), own_words(r.firm, r.name)
+        for j, (i, l) in enumerate(lines):
+            parts.append(np.concatenate([features(l, own), place_features(j, len(lines), j > 0 and i - lines[j - 1][0] > 1)]))
+            long.append(len(l) >= 100)
+        starts.append(len(parts))
+        tpl += list(r.template)
+        cut_off += list(r.cut_off)
+        fur += [k in furniture for k in r.skeletons]
+        con += [k in content for k in r.skeletons]
+    if not parts:
+        return None
+    starts, tpl, cut_off, fur, con, long = np.array(starts), *(np.array(x, bool) for x in (tpl, cut_off, fur, con, long))
+    cut_off &= ~tpl
+    fur &= ~tpl & ~cut_off
+    con &= ~tpl & ~cut_off & ~fur
+    beside = np.zeros(len(tpl), bool)  # within two lines of one that breaks off
+    page = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    for d in (1, 2):
+        same = page[d:] == page[:-d]
+        beside[d:] |= cut_off[:-d] & same
+        beside[:-d] |= cut_off[d:] & same
+    post = np.select([m[:, None] for m in (tpl, cut_off, fur, con, long, beside)], [np.array(x, float) for x in ((1, 0, 0), (0, 1, 0), (0.6, 0.4, 0), (0.02, 0.03, 0.95), (0.02, 0.08, 0.9), (0.2, 0.5, 0.3))], np.array((0.2, 0.1, 0.7)))
+    step, first = np.array([[0.8, 0.1, 0.1], [0.1, 0.7, 0.2], [0.1, 0.1, 0.8]]), np.array([0.7, 0.1, 0.2])
+    index, row, value = _flat(parts)
+    weights = np.zeros((BUCKETS, 3))
+    for n in range(ROUNDS):
+        prior = np.maximum(post.mean(0), 1e-3)
+        p = _fit(index, row, value, post, weights)
+        model = Roles(weights.astype(np.float32), prior, step, first)
+        if n == ROUNDS - 1:
+            break
+        em = p / prior + 1e-12
+        em[tpl] = (1, 1e-6, 1e-6)
+        em[cut_off] = (1e-6, 1, 1e-6)
+        em[fur] *= (1, 1, 1e-6)
+        em[con] *= (0.05, 0.05, 1)
+        post, moves = forward_backward(em, starts, step, first)
+        step = (moves + 1) / (moves + 1).sum(1, keepdims=True)
+        first = (post[starts[:-1]].sum(0) + 1) / (len(starts) + 2)
+    return model
+
+
+def _bodies_udf(model):
+    """Marked pages in, the numbers of their content lines out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        roles = model.value
+        known: dict = {}
+        places: dict = {}
+        for pdf in batches:
+            entries, numbers, z, tpl, starts = [], [], [], [], [0]
+            for e, text, firm, name, template in zip(pdf["entry_id"], pdf["text"], pdf["firm"], pdf["name"], pdf["template"]):
+                lines, own = non_blank(text), own_words(firm, name)
+                before = 0
+                for j, (i, l) in enumerate(lines):
+                    mine = [x for x in own if x[0].lower() in l.lower()] if own else own
+                    v = None if mine else known.get(l)
+                    if v is None:
+                        f = features(l, mine)
+                        v = roles.weights[f].sum(0), len(f)
+                        if not mine:
+                            if len(known) >= _CACHED:
+                                known.clear()
+                            known[l] = v
+                    at = (min(j, 4), min(len(lines) - 1 - j, 4), j > 0 and i - before > 1)
+                    p = places.get(at)
+                    if p is None:
+                        p = places[at] = roles.weights[place_features(j, len(lines), at[2])].sum(0)
+                    z.append((v[0] + p) * (3 / np.sqrt(v[1] + 3)))
+                    before = i
+                    numbers.append(i)
+                    entries.append(e)
+                tpl += list(template)
+                starts.append(len(z))
+            if not z:
+                continue
+            em = roles.emissions(np.array(z, float))
+            em[np.array(tpl, bool)] = (1, 1e-6, 1e-6)
+            sizes = np.array(starts)
+            post, _ = forward_backward(em, sizes[np.r_[True, np.diff(sizes) > 0]], roles.step, roles.first)
+            keep = post.argmax(1) == CONTENT
+            yield pd.DataFrame({"entry_id": np.array(entries)[keep], "line_no": np.array(numbers, np.int32)[keep]})
 
-def host_templates(lines: DataFrame) -> DataFrame:
-    """``host, token, slotted`` of each host's template.
+    return run
 
-    ``lines`` has ``host, page`` (hash of the address), ``line_no``, ``token`` (with how often the page has had it), ``raw`` (the line as it stands), ``named``
-    (it holds the page's person) and ``listed`` (the word lists know it). A class is tokens of one occurrence vector:
 
-    - its pages must differ: at least ``CLASS_PAGES`` of them have other lines beside it that fewer pages have, so
-      copies of one text under several addresses aren't taken for pages of a template;
-    - its tokens keep their order: those that leave it on some page drop out;
-    - it nests: a token drops out if it stands in different gaps of a wider class that all its pages have.
-    """
-    lines = lines.filter("token is not null")
-    seen = lines.groupBy("host", "token", "page").agg(F.min("line_no").alias("at"))
-    vectors = seen.groupBy("host", "token").agg(F.count(F.lit(1)).alias("pages"), F.sum(F.xxhash64("page").cast("decimal(38,0)")).alias("vector"), F.avg("at").alias("mean"))
-    usual = Window.partitionBy("host", "cls").orderBy("mean", "token")
-    classes = _large(vectors.filter(F.col("pages") >= CLASS_PAGES).withColumn("cls", F.xxhash64("pages", "vector"))).select("host", "cls", "token", "pages", F.row_number().over(usual).alias("rank"))
-    placed = cut(seen.join(classes, ["host", "token"]).select("host", "page", "cls", "pages", "token", "rank", "at"))
-    # what a page has beside the class: lines that fewer pages have, be it with other numbers; another person makes another line
-    raws = lines.groupBy("host", "raw").agg(F.countDistinct("page").alias("r"))
-    beside = (
-        lines.filter("not listed").select("host", "page", "token", "raw", "named").distinct().join(raws, ["host", "raw"]).join(vectors.select("host", "token", F.col("pages").alias("t")), ["host", "token"])
-        .select("host", "page", "raw", F.when(F.col("named"), F.col("r")).otherwise(F.greatest("r", "t")).alias("most")).distinct()
+def mark_templates(df: DataFrame, templates: bool = True) -> DataFrame:
+    """Non-blank pages with their template lines marked and, where there are any, their skeletons; written once."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    host = F.nullif(F.regexp_extract(F.lower("source_url"), r"^\s*[a-z][a-z0-9+.-]*://(?:www\.)?([^/?#:\s]+)", 1), F.lit(""))
+    address = F.xxhash64(F.regexp_replace(F.lower("source_url"), r"^\s*[a-z]+://(www\.)?|/+\s*$", ""))
+    big = df.select(F.xxhash64(host).alias("host"), host.isNull().alias("no")).filter("not no").groupBy("host").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("groups")).filter("groups > 1")
+    pages = df.filter(~is_blank("raw_evidence")).select("entry_id", F.when(host.isNotNull(), F.xxhash64(host)).alias("host"), address.alias("page"), F.col("raw_evidence").alias("text"), "firm", "name")
+    dealt = pages.join(big, "host", "left").withColumn("g", F.when(F.col("host").isNull(), F.col("entry_id")).otherwise(F.pmod(F.xxhash64("entry_id"), F.coalesce("groups", F.lit(1)))))
+    dealt = dealt.repartition(n, "host", "g").sortWithinPartitions("host", "g", "entry_id").select("entry_id", "host", "g", "page", "text", "firm", "name")
+    return cut(dealt.mapInPandas(_template_udf(templates), _MARKED))
+
+
+def skeleton_counts(marked: DataFrame) -> DataFrame:
+    """``skeleton, n, between, hosts, on_template`` over all lines of pages with a template: occurrences outside templates and broken-off lines, those of
+    them that stand between such lines (or an end of the page) while the page has other open lines, whether several hosts have it, occurrences in templates."""
+    known = F.zip_with("template", "cut_off", lambda a, b: a | b)
+    open_ = F.size(F.filter(known, lambda x: ~x))
+    line = marked.filter("size(skeletons) > 0").select("host", known.alias("k"), open_.alias("open"), F.posexplode("skeletons").alias("j", "skeleton"), "template")
+    side = lambda d: F.coalesce(F.get("k", F.col("j") + d), F.lit(True))
+    mine = F.get("k", F.col("j"))
+    return line.groupBy("skeleton").agg(
+        F.count_if(~mine).alias("n"), F.count_if(~mine & side(-1) & side(1) & (F.col("open") > 2)).alias("between"), (F.min("host") < F.max("host")).alias("hosts"), F.count_if(F.get("template", F.col("j"))).alias("on_template")
     )
-    pages_of = placed.select("host", "page", "cls", "pages").distinct()
-    contents = pages_of.join(beside, ["host", "page"]).filter("most < pages").groupBy("host", "cls", "page").agg(F.sum(F.col("raw").cast("decimal(38,0)")).alias("content"))
-    differ = contents.groupBy("host", "cls").agg(F.countDistinct("content").alias("n")).filter(F.col("n") >= CLASS_PAGES).select("host", "cls")
-    placed = placed.join(differ, ["host", "cls"], "left_semi")
-
-    @F.pandas_udf("array<int>")
-    def ordered(ranks: pd.Series) -> pd.Series:
-        return pd.Series([in_order(list(r)) for r in ranks], dtype=object)
-
-    ranks = placed.groupBy("host", "cls", "pages", "page").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "rank"))), lambda x: x["rank"]).alias("ranks"))
-    kept = ranks.select("host", "cls", "pages", F.explode(ordered("ranks")).alias("rank")).groupBy("host", "cls", "pages", "rank").agg(F.count(F.lit(1)).alias("n")).filter("n = pages")
-    placed = cut(placed.join(_large(kept).select("host", "cls", "rank"), ["host", "cls", "rank"], "left_semi"))
-    wider = placed.groupBy("host", "page", F.col("cls").alias("w_cls"), F.col("pages").alias("w_pages")).agg(F.collect_list("at").alias("ats"))
-    gaps = placed.join(wider, ["host", "page"]).filter("w_pages > pages").select("host", "cls", "pages", "token", "w_cls", F.size(F.filter("ats", lambda a: a < F.col("at"))).alias("gap"))
-    moved = gaps.groupBy("host", "cls", "pages", "token", "w_cls").agg(F.count(F.lit(1)).alias("n"), F.min("gap").alias("g"), F.max("gap").alias("h")).filter("n = pages and g < h").select("host", "cls", "token").distinct()
-    valid = _large(placed.select("host", "cls", "token").distinct().join(moved, ["host", "cls", "token"], "left_anti"))
-    variety = lines.groupBy("host", "token").agg((F.min("raw") < F.max("raw")).alias("slotted"))
-    return valid.select("host", "token").join(variety, ["host", "token"])
-
-
-def main_bodies(df: DataFrame) -> DataFrame:
+
+
+def main_bodies(df: DataFrame, templates: bool = True) -> DataFrame:
     """``entry_id, line_no`` of each non-blank line of a page's main body.
 
     ``df`` needs ``entry_id, raw_evidence, source_url, firm, name``; other columns are ignored. Lines are the pieces
     between ``\\n``, counted from 1. Null, empty and blank pages give no rows; a page without address has no host and so
-    no template. Pages fetched again count once for the template. Repeated rows give their lines once.
+    no template, only learned roles. Pages fetched again count once for a template. Repeated rows give their lines once.
+    Where no host has a template there is nothing to learn from, and every non-blank line is body; so too with
+    ``templates`` off.
     """
-    host = F.regexp_extract(F.lower("source_url"), r"^\s*[a-z][a-z0-9+.-]*://(?:www\.)?([^/?#:\s]+)", 1)
-    pages = df.filter(~is_blank("raw_evidence")).select("entry_id", F.nullif(host, F.lit("")).alias("host"), F.xxhash64(F.regexp_replace(F.lower("source_url"), r"^\s*[a-z]+://(www\.)?|/+\s*$", "")).alias("page"), F.col("raw_evidence").alias("text"), "firm", "name")
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    several = pages.filter("host is not null").groupBy("host").agg(F.countDistinct("page").alias("n")).filter(F.col("n") >= CLASS_PAGES).select("host")
-    lines = pages.join(several, "host", "left_semi").select("entry_id", "host", "page", "text", "firm", "name").mapInPandas(_tokens_udf(), "entry_id long, host string, page long, line_no int, token string, nth int, raw string, named boolean, listed boolean")
-    lines = cut(lines.select("entry_id", F.xxhash64("host").alias("host"), "page", "line_no", F.when(F.col("token") != "", F.xxhash64("token", "nth")).alias("token"), F.xxhash64("raw").alias("raw"), "named", "listed"))
-    of = lambda slotted: F.collect_set(F.when(F.col("slotted") == slotted, F.col("line_no")))
-    marked = lines.join(host_templates(lines), ["host", "token"]).groupBy("entry_id").agg(of(False).alias("template"), of(True).alias("slotted"))
-
-    @F.pandas_udf("array<int>")
-    def bodies(text: pd.Series, firm: pd.Series, name: pd.Series, template: pd.Series, slotted: pd.Series) -> pd.Series:
-        as_set = lambda m: frozenset(m) if m is not None else frozenset()
-        return pd.Series([body_lines(t, f, p, as_set(m), as_set(s)) for t, f, p, m, s in zip(text, firm, name, template, slotted)], dtype=object)
-
-    return pages.repartition(n, "entry_id").join(marked, "entry_id", "left").select("entry_id", F.explode(bodies("text", "firm", "name", "template", "slotted")).alias("line_no")).distinct()
+    marked = mark_templates(df, templates)
+    labelled = marked.filter(F.exists("template", lambda x: x) & (F.length("text") <= SAMPLE_CHARS))
+    total = labelled.count()
+    # a bounded sample, by hash; the limit only guards against ids that hash unevenly
+    sample = labelled.filter(F.pmod(F.xxhash64("entry_id", F.lit(7)), F.lit(1_000_000)) < F.lit(int(min(1.0, SAMPLE_PAGES / max(total, 1)) * 1_000_000))).limit(2 * SAMPLE_PAGES)
+    spark = df.sparkSession
+    if total == 0:
+        return marked.select("entry_id", F.posexplode(F.split("text", "\n")).alias("j", "l")).filter(~is_blank("l")).select("entry_id", (F.col("j") + 1).alias("line_no")).distinct()
+    pages = sample.select("entry_id", "text", "firm", "name", "template", "skeletons", "cut_off").toPandas().sort_values("entry_id", kind="stable")
+    mine = spark.createDataFrame(pd.DataFrame({"skeleton": pd.unique(np.concatenate([np.asarray(s, np.int64) for s in pages["skeletons"]] + [np.zeros(1, np.int64)]))}))
+    share = F.col("between") / F.col("n")
+    asked = skeleton_counts(marked).filter(F.col("hosts") & (F.col("n") >= RECURS)).join(mine, "skeleton", "left_semi")  # at most the sample's lines
+    kind = F.when((F.col("between") >= CASES) & (share >= BETWEEN), 1).when((share < NEVER) & (F.col("on_template") < NEVER * F.col("n")), 2)
+    got = asked.select("skeleton", kind.alias("kind")).filter("kind is not null").toPandas()
+    model = learn_roles(pages, set(got.loc[got["kind"] == 1, "skeleton"]), set(got.loc[got["kind"] == 2, "skeleton"]))
+    return marked.select("entry_id", "text", "firm", "name", "template").mapInPandas(_bodies_udf(spark.sparkContext.broadcast(model)), "entry_id long, line_no int").distinct()
