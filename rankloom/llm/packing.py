@@ -1,9 +1,13 @@
 """Packing of texts into containers of a fixed number of tokens.
 
 The plan is made on the histogram of sizes, which has at most ``capacity`` entries however many texts there are.
-It is plain best-fit decreasing: sizes are taken from the longest, fill the smallest gap that holds them, and what
-remains opens new containers. Tiers (capacity, a half, a quarter, ...) only label sizes; the packing is the same without. Containers of equal content are one entry of the plan with a multiplicity, so the plan stays small.
+Sizes are routed to tiers (up to the capacity, a half, a quarter, ...; the shortest tier holds everything below). From
+the longest tier down, what a tier still has is packed among itself by best-fit decreasing; then the gaps of its
+containers are filled from the shorter tiers, each time with the longest size that fits, before the next tier is
+packed. So long texts are closed off with short ones first, and no gap waits for the rest of the corpus. Containers of
+equal content are one entry of the plan with a multiplicity, so the plan stays small.
 Texts are then numbered within their size, in parallel and without sorting the corpus, and looked up in the plan.
+Containers are numbered tier by tier and dealt to step groups in snake order, so that each group gets its share of every tier.
 """
 
 from __future__ import annotations
@@ -12,7 +16,6 @@ import bisect
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from rankloom.llm.tokenize import token_counts
@@ -32,53 +35,82 @@ def tiers(capacity: int = CAPACITY, n: int = TIERS) -> list[int]:
     return [max(1, capacity >> i) for i in range(n) if capacity >> i or i == 0]
 
 
-def plan_containers(counts: dict[int, int], capacity: int = CAPACITY, n_tiers: int = TIERS) -> list[dict]:
-    """Best-fit decreasing on a histogram {size: number of items}.
-
-    Returns container kinds ``{"items": [(size, tier), ...], "fill": int, "n": int}``; ``n`` containers have that
-    content. Every item of the histogram is in exactly one of them.
-    """
-    bounds = tiers(capacity, n_tiers)
-    open_kinds: dict[int, list[list]] = {}  # gap: [[items, n], ...]
-    gaps: list[int] = []  # sorted keys of open_kinds
+def _best_fit(left: dict[int, int], own: list[int], capacity: int) -> list[list]:
+    """Pack all items of the sizes ``own`` (longest first) among themselves; ``[gap, sizes, containers]`` of each kind."""
+    kinds: dict[int, list[list]] = {}  # gap: [[sizes, n], ...]
+    gaps: list[int] = []  # sorted keys of kinds
 
     def put(gap: int, items: tuple, n: int) -> None:
-        if gap not in open_kinds:
-            open_kinds[gap] = []
+        if gap not in kinds:
+            kinds[gap] = []
             bisect.insort(gaps, gap)
-        open_kinds[gap].append([items, n])
+        kinds[gap].append([items, n])
 
-    for size in sorted((s for s in counts if s > 0 and counts[s] > 0), reverse=True):
-        if size > capacity:
-            raise ValueError(f"{size} is above the capacity {capacity}; split such items first")
-        tier, left = min(b for b in bounds if b >= size), counts[size]
-        while left:
+    for size in own:
+        while left[size]:
             i = bisect.bisect_left(gaps, size)
             if i == len(gaps):  # no gap: new containers, each with as many of this size as fit
-                each = capacity // size
-                if left >= each:
-                    n = left // each
-                    put(capacity - each * size, ((size, tier),) * each, n)
-                    left -= n * each
-                else:
-                    put(capacity - left * size, ((size, tier),) * left, 1)
-                    left = 0
-                continue
-            gap = gaps[i]
-            kind = open_kinds[gap][-1]
-            each = min(gap // size, max(1, left // kind[1]))  # the same number in each container of the kind, as far as the items go
-            n = min(kind[1], left // each)
-            kind[1] -= n
-            items = kind[0]
-            if not kind[1]:
-                open_kinds[gap].pop()
-                if not open_kinds[gap]:
-                    del open_kinds[gap]
-                    gaps.pop(i)
-            put(gap - each * size, items + ((size, tier),) * each, n)
-            left -= n * each
-    kinds = [{"items": list(items), "fill": capacity - gap, "n": n} for gap, ks in open_kinds.items() for items, n in ks if items]
-    return sorted(kinds, key=lambda k: (-k["fill"], -len(k["items"]), k["items"]))
+                each = min(capacity // size, left[size])
+                n = left[size] // each
+                put(capacity - each * size, (size,) * each, n)
+            else:
+                gap = gaps[i]
+                kind = kinds[gap][-1]
+                each = min(gap // size, max(1, left[size] // kind[1]))  # the same number in each container of the kind, as far as the items go
+                n = min(kind[1], left[size] // each)
+                items = kind[0]
+                kind[1] -= n
+                if not kind[1]:
+                    kinds[gap].pop()
+                    if not kinds[gap]:
+                        del kinds[gap]
+                        gaps.pop(i)
+                put(gap - each * size, items + (size,) * each, n)
+            left[size] -= n * each
+    return [[gap, items, n] for gap, ks in kinds.items() for items, n in ks]
+
+
+def _fill(left: dict[int, int], shorter: list[int], kinds: list[list]) -> list[list]:
+    """Fill the gaps of ``kinds``, smallest first, with the longest of the sizes ``shorter`` (rising) that fit and are left."""
+    done = []
+    todo = sorted(kinds, key=lambda k: (-k[0], k[1]))  # the end is taken first
+    while todo:
+        gap, items, n = todo.pop()
+        i = bisect.bisect_right(shorter, gap) - 1
+        while i >= 0 and not left[shorter[i]]:
+            shorter.pop(i)
+            i -= 1
+        if i < 0:
+            done.append([gap, items, n])
+            continue
+        size = shorter[i]
+        each = min(gap // size, max(1, left[size] // n))
+        m = min(n, left[size] // each)
+        left[size] -= m * each
+        if m < n:
+            todo.append([gap, items, n - m])
+        todo.append([gap - each * size, items + (size,) * each, m])
+    return done
+
+
+def plan_containers(counts: dict[int, int], capacity: int = CAPACITY, n_tiers: int = TIERS) -> list[dict]:
+    """Hierarchical packing of a histogram {size: number of items}.
+
+    Returns container kinds ``{"items": [(size, tier), ...], "fill": int, "n": int, "tier": int}``, tier by tier; ``n`` containers have
+    that content, ``tier`` is that of the window they were opened for. Every item of the histogram is in exactly one of
+    them. With one tier this is best-fit decreasing.
+    """
+    bounds = tiers(capacity, n_tiers)
+    left = {s: c for s, c in counts.items() if s > 0 and c > 0}
+    if left and max(left) > capacity:
+        raise ValueError(f"{max(left)} is above the capacity {capacity}; split such items first")
+    tier_of = {s: min(b for b in bounds if b >= s) for s in left}
+    out = []
+    for bound in bounds:
+        own = sorted((s for s in left if tier_of[s] == bound), reverse=True)
+        kinds = _fill(left, sorted(s for s in left if tier_of[s] < bound and left[s]), _best_fit(left, own, capacity))
+        out += [{"items": [(s, tier_of[s]) for s in items], "fill": capacity - gap, "n": n, "tier": bound} for gap, items, n in kinds]
+    return sorted(out, key=lambda k: (-k["tier"], -k["fill"], -len(k["items"]), k["items"]))
 
 
 def slots_of(kinds: list[dict]) -> list[tuple]:
@@ -97,7 +129,7 @@ def slots_of(kinds: list[dict]) -> list[tuple]:
     return rows
 
 
-_SLOTS = T.StructType([T.StructField(n, T.LongType()) for n in ("s_size", "first_rank", "end_rank", "first_container", "s_offset", "tier")])
+_SLOTS = "s_size long, slots array<struct<first: long, container: long, offset: long, tier: long>>"
 
 
 def pack_sizes(spark: SparkSession, items: DataFrame, capacity: int = CAPACITY, n_tiers: int = TIERS, group: int = GROUP) -> DataFrame:
@@ -106,7 +138,7 @@ def pack_sizes(spark: SparkSession, items: DataFrame, capacity: int = CAPACITY,
     One row per part of an item: ``doc_id, part, start_token, part_tokens, container_id, container_offset, tier,
     step_group``. An item above the capacity is split into full containers and one rest; no other is split. Items of
     null or zero size have one row with null container. Repeated rows are items of their own. Step groups of
-    ``group`` containers are dealt in snake order by fill, so that their token totals are balanced.
+    ``group`` containers are dealt in snake order by tier and fill, so that their token totals and shares of the tiers are balanced.
     """
     parts = cut(
         items.select("doc_id", F.coalesce(F.col("n_tokens"), F.lit(0)).cast("long").alias("n"))
@@ -121,7 +153,10 @@ def pack_sizes(spark: SparkSession, items: DataFrame, capacity: int = CAPACITY,
         counts[r["size"]] = counts.get(r["size"], 0) + r["c"]
     kinds = plan_containers(counts, capacity, n_tiers)
     total = sum(k["n"] for k in kinds)
-    slots = spark.createDataFrame(slots_of(kinds), _SLOTS)
+    by_size: dict[int, list] = {}
+    for size, first, _, container, offset, tier in sorted(slots_of(kinds)):
+        by_size.setdefault(size, []).append((first, container, offset, tier))
+    slots = spark.createDataFrame(list(by_size.items()), _SLOTS)  # a row per size, at most the capacity
     starts, seen = [], {}
     for r in sorted(per_rows, key=lambda r: (r["size"], r["b"])):
         starts.append((r["size"], r["b"], seen.get(r["size"], 0)))
@@ -136,11 +171,13 @@ def pack_sizes(spark: SparkSession, items: DataFrame, capacity: int = CAPACITY,
     )
     n_groups = max(1, -(-total // group))
     lane = F.col("container_id") % n_groups
+    slot = F.element_at(F.filter("slots", lambda x: x["first"] <= F.col("rank")), -1)  # the last run of this size that begins at or before the item
     placed = (
-        numbered.join(F.broadcast(slots), (F.col("size") == F.col("s_size")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("end_rank")))
-        .withColumn("container_id", F.col("first_container") + F.col("rank") - F.col("first_rank"))
+        numbered.join(F.broadcast(slots), F.col("size") == F.col("s_size"))
+        .select("doc_id", "part", "start_token", "size", "rank", slot.alias("s"))
+        .select("doc_id", "part", "start_token", "size", "s", (F.col("s.container") + F.col("rank") - F.col("s.first")).alias("container_id"))
         .select(
-            "doc_id", "part", "start_token", F.col("size").alias("part_tokens"), "container_id", F.col("s_offset").alias("container_offset"), "tier",
+            "doc_id", "part", "start_token", F.col("size").alias("part_tokens"), "container_id", F.col("s.offset").alias("container_offset"), F.col("s.tier").alias("tier"),
             F.when((F.floor(F.col("container_id") / n_groups) % 2) == 0, lane).otherwise(n_groups - 1 - lane).alias("step_group"),
         )
     )

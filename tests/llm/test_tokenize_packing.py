@@ -51,6 +51,26 @@ def test_plan_holds_every_item_and_is_tight():
         packing.plan_containers({3000: 1})
 
 
+def test_tiers_change_the_plan_and_waste_nothing():
+    rng = random.Random(8)
+    counts = {}
+    for _ in range(40_000):  # a heavy tail of long texts, as in documents
+        s = min(2048, int(rng.lognormvariate(4.5, 1.0)) + 1)
+        counts[s] = counts.get(s, 0) + 1
+    total = sum(s * c for s, c in counts.items())
+    plans = {t: packing.plan_containers(counts, n_tiers=t) for t in (1, 3, 5)}
+    assert plans[1] != plans[3] != plans[5]
+    for t, kinds in plans.items():
+        assert total / (2048 * sum(k["n"] for k in kinds)) > 0.999
+        seen = {}
+        for k in kinds:
+            for s, _ in k["items"]:
+                seen[s] = seen.get(s, 0) + k["n"]
+        assert seen == counts and {k["tier"] for k in kinds} <= set(packing.tiers(2048, t))
+    opened = [k for k in plans[5] if k["tier"] == 2048]
+    assert all(max(s for s, _ in k["items"]) > 1024 for k in opened) and any(t < 2048 for k in opened for _, t in k["items"])
+
+
 def test_packing_is_valid(spark):
     rng = random.Random(3)
     rows = [(i, rng.choice([0, None, 1, 7, 100, 100, 100, 2048, 2049, 5000])) for i in range(600)] + [(7, 100), (7, 100)]
