@@ -48,7 +48,7 @@ _WORD = re.compile(r"\w+|[^\w\s]+")
 _NUMBER = re.compile(r"\d[\d.,]*")
 #: A line that breaks off, perhaps with a link of two words behind.
 _CUT_OFF = re.compile(r"(?:…|\.\.\.|\[…\])\W*(?:\w+ \w+)?\W*$")
-_CACHED = 200_000  #: remembered lines of a worker; a bound of memory that changes no result
+_CACHED = 200_000  #: keys that a ``Memory`` holds
 
 
 def own_words(firm: str | None, person: str | None) -> list[tuple[str, str]]:
@@ -86,6 +86,26 @@ def skeleton(line: str, own: list[tuple[str, str]]) -> str:
     return " ".join(out)
 
 
+def _mine(line: str, own: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Those of ``own`` that occur in the line."""
+    low = line.lower()
+    return [x for x in own if x[0].lower() in low]
+
+
+class Memory(dict):
+    """What was computed of a key; emptied when it holds ``_CACHED`` keys, which bounds memory and changes no result."""
+
+    def __init__(self, f):
+        super().__init__()
+        self.f = f
+
+    def __missing__(self, key):
+        if len(self) >= _CACHED:
+            self.clear()
+        v = self[key] = self.f(key)
+        return v
+
+
 def _id(s: str) -> int:
     return int.from_bytes(blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
@@ -173,22 +193,25 @@ _MARKED = "entry_id long, host long, text string, firm string, name string, page
 def _template_udf(templates: bool):
     """Rows sorted by group in, marked rows out; a group is held whole, and it is bounded by how pages are dealt."""
 
+    read = lambda l, own: (token(l, own), _id(skeleton(l, own)), bool(_CUT_OFF.search(l)) and len(l) > 25)
+    common = Memory(lambda l: read(l, []))
+
     def finish(rows: list) -> list:
         seen, pages, out = set(), [], []
         for r in rows:
             if (r.entry_id, r.text) not in seen:
                 seen.add((r.entry_id, r.text))
                 pages.append(r)
-        lines = [[l for _, l in non_blank(r.text)] for r in pages]
-        own = [own_words(r.firm, r.name) for r in pages]
         several = len({r.page for r in pages}) if pages and pages[0].host is not None else 0
-        if templates and several >= CLASS_PAGES:
-            marks = deduce([(r.page, [(token(l, o), l) for l in ls]) for r, ls, o in zip(pages, lines, own)])
-        else:
-            marks = [set() for _ in pages]
-        for r, ls, o, m in zip(pages, lines, own, marks):
-            learn = bool(m)
-            out.append((r.entry_id, r.host, r.text, r.firm, r.name, several, [j in m for j in range(len(ls))], [_id(skeleton(l, o)) for l in ls] if learn else [], [bool(_CUT_OFF.search(l)) and len(l) > 25 for l in ls] if learn else []))
+        learn = templates and several >= CLASS_PAGES
+        lines = [[l for _, l in non_blank(r.text)] for r in pages]
+        facts = []
+        for r, ls in zip(pages, lines):
+            own = own_words(r.firm, r.name)
+            facts.append([read(l, mine) if (mine := _mine(l, own)) else common[l] for l in ls] if learn else [])
+        marks = deduce([(r.page, [(f[0], l) for f, l in zip(fs, ls)]) for r, fs, ls in zip(pages, facts, lines)]) if learn else [set()] * len(pages)
+        for r, ls, fs, m in zip(pages, lines, facts, marks):
+            out.append((r.entry_id, r.host, r.text, r.firm, r.name, several, [j in m for j in range(len(ls))], [f[1] for f in fs] if m else [], [f[2] for f in fs] if m else []))
         return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -225,7 +248,10 @@ def features(line: str, own: list[tuple[str, str]]) -> np.ndarray:
         f.append("F")
     f += ["w" + x for x in set(w)]
     f += ["b" + x + " " + y for x, y in set(zip(w, w[1:]))]
-    return np.fromiter((zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in f), np.int64, len(f))
+    return np.array([_bucket[x] for x in f], np.int64)
+
+
+_bucket = Memory(lambda x: zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS)
 
 
 def place_features(j: int, n: int, gap: bool) -> list[int]:
@@ -340,7 +366,8 @@ def _bodies_udf(model):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         roles = model.value
-        known: dict = {}
+        weigh = lambda l, own: (roles.weights[f := features(l, own)].sum(0), len(f))
+        common = Memory(lambda l: weigh(l, []))
         places: dict = {}
         for pdf in batches:
             entries, numbers, z, tpl, starts = [], [], [], [], [0]
@@ -348,15 +375,7 @@ def _bodies_udf(model):
                 lines, own = non_blank(text), own_words(firm, name)
                 before = 0
                 for j, (i, l) in enumerate(lines):
-                    mine = [x for x in own if x[0].lower() in l.lower()] if own else own
-                    v = None if mine else known.get(l)
-                    if v is None:
-                        f = features(l, mine)
-                        v = roles.weights[f].sum(0), len(f)
-                        if not mine:
-                            if len(known) >= _CACHED:
-                                known.clear()
-                            known[l] = v
+                    v = weigh(l, mine) if (mine := _mine(l, own)) else common[l]
                     at = (min(j, 4), min(len(lines) - 1 - j, 4), j > 0 and i - before > 1)
                     p = places.get(at)
                     if p is None:
