@@ -19,12 +19,12 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return survivors.discover(spark.read.parquet(f"{d}/person_candidates.parquet")).values.select("roster_id", "field", "candidate_id")
+    return survivors.survive(spark.read.parquet(f"{d}/person_candidates.parquet"))
 
 
 def p2_truths(spark: SparkSession, d: str) -> DataFrame:
-    """Without precedence: the votes alone decide."""
-    return survivors.discover(table(spark, d, "person_candidates"), precedence=False).values
+    """The votes alone decide, whatever the precedence."""
+    return survivors.discover(table(spark, d, "person_candidates")).values
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -1,12 +1,12 @@
 """One surviving value per field for each group of duplicate records.
 
-Truth discovery: every row claims values for its group's fields; sources have a reliability per field. In turn, each
-claimed value's support is the sum of its claimants' reliabilities, the value of highest support is taken as true,
-and a source's reliability becomes its smoothed rate of true claims, until no reliability moves. With
-``precedence`` on, the claim of the most trusted, then latest, then smallest row carries a support above all votes
-together, as this project's data demand; votes then decide the confidence and the reliabilities, not the survivor.
+``discover`` is truth discovery: every row claims values for its group's fields; sources have a reliability per field.
+In turn, each claimed value's support is the sum of its claimants' reliabilities, the value of highest support is
+taken as true, and a source's reliability becomes its smoothed rate of true claims, until no reliability moves. Claims
+are pre-aggregated per group, field, value and source, so a group of any size meets in sums and maxima only.
 
-Claims are pre-aggregated per group, field, value and source, so a group of any size meets in sums and maxima only.
+Where the survivor is prescribed (the most trusted, then latest, then smallest row, as this project's data demand), no
+vote can change it, so ``survive`` takes it directly: one aggregation, without rounds.
 """
 
 from __future__ import annotations
@@ -45,24 +45,39 @@ def usable_title(c: Column | str) -> Column:
     return ~is_blank(c) & ~s.isin(*NO_TITLE) & F.coalesce(F.regexp_like(c if isinstance(c, Column) else F.col(c), F.lit(r"\p{L}")), F.lit(False))
 
 
-def claims_of(df: DataFrame) -> DataFrame:
-    """``g, field, value, src, n, best``: pre-aggregated usable claims of groups of at least two rows.
+_NEEDED = ("candidate_id", "roster_id", "title", "age", "pay", "source_type", "precedence", "verification_status", "extracted_at")
 
-    ``best`` orders claims by tier, time and id; its maximum is the first in precedence (nulls are least).
-    """
-    rows = df.filter("roster_id is not null").select("candidate_id", "roster_id", "title", "age", "pay", "source_type", "precedence", "verification_status", "extracted_at")
-    groups = rows.groupBy("roster_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select("roster_id")
-    best = F.struct((-trust_tier("source_type", "precedence")).alias("t"), F.col("extracted_at").alias("at"), (-F.col("candidate_id")).alias("id"))
-    claim = lambda name, ok, v: F.when(ok, F.struct(F.lit(name).alias("field"), v.alias("value")))
-    fields = F.array(
-        claim("title", usable_title("title"), F.lower(squeeze("title"))),
-        claim("age", F.col("age").between(18, 100), F.col("age").cast("string")),
-        claim("pay", (F.col("pay") > 0) & ~F.isnan("pay") & (F.col("pay") < float("inf")), F.col("pay").cast("string")),
-    )
+
+def _best() -> Column:
+    """Orders claims by tier, time and id; its maximum is the first in precedence (nulls are least)."""
+    return F.struct((-trust_tier("source_type", "precedence")).alias("t"), F.col("extracted_at").alias("at"), (-F.col("candidate_id")).alias("id"))
+
+
+def _usable() -> dict[str, tuple[Column, Column]]:
+    """Of each field whether a row claims a usable value, and the value as text."""
     verified = ~F.coalesce(F.lower(squeeze("verification_status")) == "unverified", F.lit(False))
+    pay = (F.col("pay") > 0) & ~F.isnan("pay") & (F.col("pay") < float("inf"))
+    return {"title": (verified & usable_title("title"), F.lower(squeeze("title"))), "age": (verified & F.col("age").between(18, 100), F.col("age").cast("string")), "pay": (verified & pay, F.col("pay").cast("string"))}
+
+
+def survive(df: DataFrame) -> DataFrame:
+    """``roster_id, field, candidate_id``: of each group of two rows or more and each field the usable claim of the most
+    trusted, then latest (null last), then smallest row; nothing where no claim is usable. Needs the columns of
+    ``discover``; others are ignored. One shuffle, with partial maxima: groups of any size."""
+    rows = df.filter("roster_id is not null").select(*_NEEDED)
+    ok = _usable()
+    top = rows.select("roster_id", _best().alias("best"), *[c.alias(f"ok_{f}") for f, (c, _) in ok.items()]).groupBy("roster_id").agg(F.count(F.lit(1)).alias("n"), *[F.max(F.when(F.col(f"ok_{f}"), F.col("best"))).alias(f) for f in ok])
+    claims = F.array_compact(F.array(*[F.when(F.col(f).isNotNull(), F.struct(F.lit(f).alias("field"), (-F.col(f)["id"]).alias("candidate_id"))) for f in ok]))
+    return top.filter("n >= 2").select("roster_id", F.explode(claims).alias("c")).select("roster_id", "c.*")
+
+
+def claims_of(df: DataFrame) -> DataFrame:
+    """``g, field, value, src, n, best``: pre-aggregated usable claims of groups of at least two rows."""
+    rows = df.filter("roster_id is not null").select(*_NEEDED)
+    groups = rows.groupBy("roster_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select("roster_id")
+    fields = F.array(*[F.when(ok, F.struct(F.lit(f).alias("field"), v.alias("value"))) for f, (ok, v) in _usable().items()])
     return (
-        rows.filter(verified)
-        .select("roster_id", F.coalesce(source_kind("source_type"), F.lit("other")).alias("src"), best.alias("best"), F.explode(F.array_compact(fields)).alias("c"))
+        rows.select("roster_id", F.coalesce(source_kind("source_type"), F.lit("other")).alias("src"), _best().alias("best"), F.explode(F.array_compact(fields)).alias("c"))
         .groupBy(F.col("roster_id").alias("g"), F.col("c.field").alias("field"), F.col("c.value").alias("value"), "src")
         .agg(F.count(F.lit(1)).alias("n"), F.max("best").alias("best"))
         .join(groups.withColumnRenamed("roster_id", "g"), "g", "left_semi")
@@ -78,7 +93,7 @@ class Truths:
     rounds: int
 
 
-def discover(df: DataFrame, precedence: bool = True, most_rounds: int = 20, tolerance: float = 1e-3) -> Truths:
+def discover(df: DataFrame, most_rounds: int = 20, tolerance: float = 1e-3) -> Truths:
     """Survivors of each group and field of ``df`` (``candidate_id, roster_id, title, age, pay, source_type, precedence,
     verification_status, extracted_at``; other columns are ignored).
 
@@ -93,8 +108,7 @@ def discover(df: DataFrame, precedence: bool = True, most_rounds: int = 20, tole
         rounds += 1
         weight = F.element_at(F.create_map(*[F.lit(x) for (s, f), w in rate.items() for x in (f"{s} {f}", float(w))]), F.concat_ws(" ", "src", "field"))
         values = claims.groupBy("g", "field", "value").agg(F.sum(F.col("n") * weight).alias("w"), F.max("best").alias("best"))
-        order = ("best", F.round("w", 9).alias("r")) if precedence else (F.round("w", 9).alias("r"), "best")
-        truth = values.groupBy("g", "field").agg(F.max(F.struct(*order, "value", "w")).alias("top"), F.sum("w").alias("total"))
+        truth = values.groupBy("g", "field").agg(F.max(F.struct(F.round("w", 9).alias("r"), "best", "value", "w")).alias("top"), F.sum("w").alias("total"))
         seen = (
             claims.join(truth.select("g", "field", F.col("top.value").alias("t")), ["g", "field"])
             .groupBy("src", "field")

@@ -43,10 +43,11 @@ def test_survivors_against_brute_force(spark):
         g = rng.choice([None, 1, 1, 1, *range(2, 300)])
         rows.append((i, g, "x", rng.choice([None, "", "nan", "TBD", "?", " ", "Head", " head", "Chair"]), rng.choice([None, -1, 17, 18, 40, 100, 999]), rng.choice([None, 0.0, -1.0, 5.0, float("nan"), float("inf")]), rng.choice([None, "", "unheard of", *TIERS]), rng.choice([None, 1, 2, 99]), rng.choice([None, "verified", "unverified", "Unverified ", "skipped"]), at, "clash", "clash"))
     df = spark.createDataFrame(rows, CAND)
-    found = survivors.discover(df)
-    got = [tuple(r)[:3] for r in found.values.collect()]
+    got = [tuple(r) for r in survivors.survive(df).collect()]
     assert len(got) == len(set(got)) and set(got) == brute(rows)
-    assert all(0 <= r.support <= 1 for r in found.values.collect())
+    assert survivors.survive(df.limit(0)).count() == 0
+    voted = survivors.discover(df).values.collect()
+    assert {(r.roster_id, r.field) for r in voted} == {g[:2] for g in got} and all(0 <= r.support <= 1 for r in voted)
     assert survivors.discover(df.limit(0)).values.count() == 0
 
 
@@ -56,7 +57,7 @@ def test_votes_alone_find_the_value_of_reliable_sources(spark):
         rows += [(len(rows), g, "x", "Truth %d" % g, None, None, "sec_filing", None, "verified", None, "", ""), (len(rows) + 1, g, "x", "Truth %d" % g, None, None, "annual_report", None, "verified", None, "", ""), (len(rows) + 2, g, "x", "Wrong %d" % g, None, None, "firm_website", None, "verified", None, "", "")]
         if g % 3 == 0:
             rows.append((len(rows), g, "x", "Wrong %d" % g, None, None, "firm_website", None, "verified", None, "", ""))
-    got = survivors.discover(spark.createDataFrame(rows, CAND), precedence=False)
+    got = survivors.discover(spark.createDataFrame(rows, CAND))
     assert got.values.filter("value like 'truth%'").count() == 200
     assert got.reliability[("filing", "title")] > 0.9 > 0.1 > got.reliability[("website", "title")]
 
