@@ -83,6 +83,11 @@ def test_consensus_beats_the_majority(spark):
     rows.append((len(rows), "two", "f", None, None, None, None, None, 2, "HR", None, None, ""))
     got = consensus.reach_consensus(spark.createDataFrame(rows, CORR), rounds=6)
     items = {r.node_id: r for r in got.items.collect()}
+    joined = consensus.reach_consensus(spark.createDataFrame(rows, CORR), rounds=2, table_cells=0)  # the way for annotators of any number
+    sent = consensus.reach_consensus(spark.createDataFrame(rows, CORR), rounds=2)
+    key = lambda r: (r.node_id, r.corrected_level, r.corrected_function, round(r.function_confidence, 3), r.function_agreement)
+    assert {key(r) for r in joined.items.collect()} == {key(r) for r in sent.items.collect()}
+    assert {tuple(r) for r in joined.analysts.collect()} == {tuple(r) for r in sent.analysts.collect()}
     assert set(items) == set(truth)
     right = sum((r.corrected_level, r.corrected_function) == truth[n] for n, r in items.items()) / len(items)
     fright = sum(r.corrected_function == truth[n][1] for n, r in items.items()) / len(items)
@@ -92,5 +97,15 @@ def test_consensus_beats_the_majority(spark):
     assert min(rel[f"an-{i}"] for i in range(6)) > max(rel[f"an-{i}"] for i in range(6, 15))
 
 
+def test_more_classes_than_columns(spark):
+    """Labels beyond the commonest share a column; a node's own commonest one wins."""
+    rows = []
+    for n in range(150):
+        for a in range(4):
+            rows.append((len(rows), f"n{n}", "f", None, None, None, None, None, n, f"Function {n}" if a < 3 else "Sales", f"an-{a}", "2024-01-01T00:00:00+00:00", ""))
+    got = {r.node_id: (r.corrected_level, r.corrected_function) for r in consensus.reach_consensus(spark.createDataFrame(rows, CORR)).items.collect()}
+    assert got == {f"n{n}": (n, f"Function {n}") for n in range(150)}
+
+
 def test_consensus_of_nothing(spark):
     assert consensus.reach_consensus(spark.createDataFrame([], CORR), rounds=1).items.count() == 0
