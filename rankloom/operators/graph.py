@@ -31,25 +31,27 @@ def chains(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
     Returns people's parents (``id, parent``) and ghosts (``node_id, parent, layer, sector``). Layer by layer, a chain of
     people of one leaf and raw department is extended by the first real person of that layer under its end, or else by
     a ghost if anyone deeper needs one. People of a layer are all placed before the next layer looks at them.
+
+    The steps run on one row per chain, which holds the first real person of each layer: people themselves are
+    aggregated once and joined once. Chains that share an end meet in a window over it.
     """
     p = leaves(placed.select("id", "ord", "dept", "sub_dept", "at_layer", "designation", "sector", "dept_primary", "dept_secondary")).withColumn("rp", F.col("dept_primary")).withColumn("rs", F.col("dept_secondary"))
     key = ["leaf", "rp", "rs"]
-    cursor = cut(p.filter(F.col("at_layer") > START).groupBy(*key).agg(F.max("at_layer").alias("deepest"), F.min_by("sector", F.struct("at_layer", "ord")).alias("sector")).withColumn("end", F.col("leaf")))
-    parents = p.filter(F.col("at_layer") <= START).select("id", F.col("leaf").alias("parent"))
-    ghosts = None
-    for n in range(START, 10):
-        at = p.filter(F.col("at_layer") == n)
-        placed_now = at.select("*", F.col("leaf").alias("parent")) if n == START else at.join(cursor.select(*key, "end"), key).withColumnRenamed("end", "parent")
-        if n > START:
-            parents = parents.unionByName(placed_now.select("id", "parent"))
-        real = placed_now.filter(~F.lower("designation").rlike(R.STAFF_TITLES)).groupBy("parent").agg(F.min_by("id", "ord").alias("real")).withColumnRenamed("parent", "end")
+    real = ~F.coalesce(F.lower("designation").rlike(R.STAFF_TITLES), F.lit(False))
+    steps = range(START, 10)
+    deeper = F.when(F.col("at_layer") > START, F.struct("at_layer", "ord"))
+    c = p.filter(F.col("at_layer") >= START).groupBy(*key).agg(F.max("at_layer").alias("deepest"), F.min_by("sector", deeper).alias("sector"), *[F.min(F.when((F.col("at_layer") == n) & real, F.struct("ord", "id"))).alias(f"f{n}") for n in steps]).withColumn(f"e{START}", F.col("leaf"))
+    for n in steps:
+        goes_on = F.col("deepest") > n
+        first = F.min(f"f{n}").over(Window.partitionBy(f"e{n}"))["id"]
         ghost = node_id(F.lit("ghost"), F.col("leaf"), F.col("rp"), F.col("rs"), F.lit(str(n)))
-        step = cut(cursor.filter(F.col("deepest") > n).join(real, "end", "left").withColumn("ghost", F.when(F.col("real").isNull(), ghost)))
-        new = step.filter("ghost is not null").select(F.col("ghost").alias("node_id"), F.col("end").alias("parent"), F.lit(n).alias("layer"), "sector")
-        ghosts = new if ghosts is None else ghosts.unionByName(new)
-        cursor = step.withColumn("end", F.coalesce("real", "ghost")).drop("real", "ghost")
-    last = p.filter(F.col("at_layer") == 10).join(cursor.select(*key, "end"), key).select("id", F.col("end").alias("parent"))
-    return cut(parents.unionByName(last)), cut(ghosts)
+        c = c.withColumn("r_", first).withColumn(f"g{n}", F.when(goes_on & F.col("r_").isNull(), ghost)).withColumn(f"e{n + 1}", F.when(goes_on, F.coalesce("r_", f"g{n}"))).drop("r_")
+    c = cut(c.select(*key, "sector", *[f"g{n}" for n in steps], *[f"e{n}" for n in range(START, 11)]))
+    end = F.get(F.array(*[F.col(f"e{n}") for n in range(START, 11)]), F.col("at_layer") - START)
+    same = [F.col(f"p.{k}").eqNullSafe(F.col(f"c.{k}")) for k in key]
+    parents = p.alias("p").join(c.alias("c"), same[0] & same[1] & same[2], "left").select("p.id", F.when(F.col("at_layer") <= START, F.col("p.leaf")).otherwise(end).alias("parent"))
+    made = F.array_compact(F.array(*[F.when(F.col(f"g{n}").isNotNull(), F.struct(F.col(f"g{n}").alias("node_id"), F.col(f"e{n}").alias("parent"), F.lit(n).alias("layer"))) for n in steps]))
+    return parents, c.select("sector", F.explode(made).alias("g")).select("g.node_id", "g.parent", "g.layer", "sector")
 
 
 def build(placed: DataFrame, label: str = "Organization") -> tuple[DataFrame, DataFrame]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rankloom.functions import rules as R
+from rankloom.operators.ranks import numbered
 
 
 def export(placed: DataFrame, deepest: int = 8) -> DataFrame:
@@ -54,11 +55,16 @@ def spread(heads: int, members: int) -> list[tuple[int, int]]:
 
 
 def spread_under(heads: DataFrame, members: DataFrame, key: str) -> DataFrame:
-    """``id, head_id``: members of each ``key`` spread evenly over its heads, both in the order of ``ord``."""
-    h = heads.withColumn("i", F.row_number().over(Window.partitionBy(key).orderBy("ord")) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(key)))
-    m = members.withColumn("j", F.row_number().over(Window.partitionBy(key).orderBy("ord")) - 1).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy(key)))
-    j = m.join(h.select(key, F.col("id").alias("head_id"), "i", "n"), key)
-    return j.filter((F.col("j") >= F.floor(F.col("i") * F.col("m") / F.col("n"))) & (F.col("j") < F.floor((F.col("i") + 1) * F.col("m") / F.col("n")))).select("id", "head_id")
+    """``id, head_id``: members of each ``key`` spread evenly over its heads, both in the order of ``ord``.
+
+    Member ``j`` of ``m`` belongs to the head whose share ends first beyond it, which is computed, so that heads and members
+    of a key meet one to one and not all with all.
+    """
+    h = numbered(heads, [key], ["ord"], "i", "n")
+    m = numbered(members, [key], ["ord"], "j", "m")
+    counts = h.select(key, "n").distinct()
+    at = m.join(counts, key).withColumn("i", F.floor(((F.col("j") + 1) * F.col("n") + F.col("m") - 1) / F.col("m")) - 1)
+    return at.join(h.select(key, "i", F.col("id").alias("head_id")), [key, "i"]).select("id", "head_id")
 
 
 def department_heads(placed: DataFrame) -> DataFrame:

@@ -67,10 +67,14 @@ def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def write_graph(nodes: DataFrame, edges: DataFrame, path: str, dataset_id: str) -> None:
-    """Nodes (the last of an id) and edges (each once) of one dataset; other datasets beside it stay."""
-    for name, df, keys in (("nodes", nodes, ["node_id"]), ("edges", edges, ["parent_id", "child_id"])):
-        df.dropDuplicates(keys).withColumn("dataset_id", F.lit(dataset_id)).write.mode("overwrite").partitionBy("dataset_id").option("partitionOverwriteMode", "dynamic").parquet(f"{path}/{name}")
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str, dataset_id: str, order: str | None = None) -> None:
+    """Nodes (of an id the last by the column ``order``, or the greatest row where there is none) and edges (each once) of one dataset; other datasets beside it stay."""
+    rest = [c for c in nodes.columns if c != "node_id"]
+    row = F.struct(*rest)
+    last = F.max_by(row, F.col(order)) if order else F.max(row)
+    nodes = nodes.groupBy("node_id").agg(last.alias("v")).select("node_id", *[F.col("v")[c].alias(c) for c in rest])
+    for name, df in (("nodes", nodes), ("edges", edges.dropDuplicates(["parent_id", "child_id"]))):
+        df.withColumn("dataset_id", F.lit(dataset_id)).write.mode("overwrite").partitionBy("dataset_id").option("partitionOverwriteMode", "dynamic").parquet(f"{path}/{name}")
 
 
 def read_graph(spark: SparkSession, path: str, dataset_id: str) -> tuple[DataFrame, DataFrame]:
