@@ -4,30 +4,65 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterable
+from dataclasses import dataclass, field
+from functools import lru_cache
 
 from rankloom.llm.canonical import _LETTERS
 
 #: Words around a name that aren't part of it (fixed values).
 HONORIFICS = frozenset("mr mrs ms miss mx dr prof ing sir dame herr frau mme mlle sr sra don dona dipl rev hon".split())
 SUFFIXES = frozenset("jr snr ii iii iv mba phd cpa md esq msc bsc ba ma llm cfa dds rn pe ret".split())
-#: Short forms of given names (fixed values): each line is one given name and what people call it.
-NICKNAMES = """
-abdurrahman abdul rahman abdu|aleksandra alecsandra sasha ola alexandra sandra alex|alexander alex sandy sasha xander lex aleksander|anastasia nastya stacy ana asya|augustine gus augie|barnaby barney|beatriz bea bia beatrice|benjamin ben benny benji|caetano cae|charles charlie chuck chas carl|chiara kiki|christopher chris kit topher christofer|clementine clem|conceicao sao concha|corentin coco|cornelius neil con corny|deborah deb debbie debra|desislava desi|devika devi|dmitri dima mitya|dolores lola|edward ed eddie ned ted teddy|ekaterina katya kate katia|eleni lena helen elena|elizabeth liz beth betty eliza lizzie libby lisa|enrique quique kike henry|femke fem|fiona fi|francesca cesca fran franca chicca|francisco paco pancho fran cisco|frederick fred freddie freddy rick|friedrich fritz fred|gabriela gabi gaby gabby|giuseppe beppe peppe pino|goncalo|gregory greg|guadalupe lupe lupita|gunther|harold harry hal|hendrik henk rik|ignacio nacho|imogen immy|ingrid inga|isabella bella isa izzy|jennifer jen jenny|joao|joaquin quino|johannes hans hannes jan joh|jonathan jon jonny nathan|jose pepe|josephine josie jo|jurgen|katarzyna kasia kate|katherine kate kathy katie kat kay kitty|lakshmi|leonardo leo nardo|lorenzo enzo renzo|lukasz luke|malgorzata gosia malgosia gosha|maarten|margaret maggie meg peggy marge greta|maximilian max|meenakshi meena|michael mike mick mikey|mikhail misha|milos|mohammed mo mohd mohamed muhammad|nicholas nick nicky nico|oksana ksenia|ottavia|patricia pat patty tricia trish patsy|percival percy|philippa pippa|rajendra raj|rhiannon|richard dick rick rich richie ricky|robert bob rob bobby robbie bert|rodrigo rodri|rupert|samantha sam sammy|saoirse|sebastian seb bas basti|siddharth sid|stavros|susannah sue susie susan suzy|theodore theo ted teddy|thibault tibo|thiago|timothy tim timmy|valentina vale val tina|venkatesh venky venkat|victoria vicky viky tori vic|wilhelmina mina willa billie wilma|william bill will billy liam willy|xiulan|yevgenia zhenya|zdenek
-""".strip()
-SHORT = {}
-for _line in NICKNAMES.split("|"):
-    _full, *_shorts = _line.split()
-    for _s in _shorts:
-        SHORT.setdefault(_s, set()).add(_full)
-#: First letters of a given name's short forms.
-INITIALS = {}
-for _s, _fulls in SHORT.items():
-    for _f in _fulls:
-        INITIALS.setdefault(_f, set()).add(_s[0])
 #: Words of firms that are form, not name (fixed values).
 LEGAL = frozenset("the inc incorporated corp corporation co company ltd limited llc llp lp plc gmbh ag sa spa srl bv nv oy ab as kk pty pvt private sons partners and group holding hq subsidiary a of und y et & b v k p s l n international intl global".split())
 
 
+#: Strings that a worker remembers readings of; a bound of memory that changes no result.
+_CACHED = 100_000
+
+
+def _less(w: str) -> set[str]:
+    return {w} | {w[:i] + w[i + 1 :] for i in range(len(w))}
+
+
+@dataclass(frozen=True)
+class Lexicon:
+    """What the data tell of given names: those that are usual, and of each short form the names it stands for."""
+
+    usual: frozenset = frozenset()
+    short: dict = field(default_factory=dict)
+    near: dict = field(default_factory=dict)  # a usual name, and it with each letter left out, to such names
+
+    @classmethod
+    def of(cls, usual: Iterable[str], pairs: Iterable[tuple[str, str]] = ()) -> Lexicon:
+        """``pairs``: short form and full name."""
+        short: dict[str, set[str]] = {}
+        for s, full in pairs:
+            short.setdefault(s, set()).add(full)
+        near: dict[str, list[str]] = {}
+        usual = frozenset(usual)
+        for w in usual:
+            if len(w) > 3:
+                for c in _less(w):
+                    near.setdefault(c, []).append(w)
+        return cls(usual, {s: frozenset(f) for s, f in short.items()}, near)
+
+    def likes(self, w: str) -> bool:
+        """Known, or within one edit of a usual name of four letters or more."""
+        return self.knows(w) or any(edits(v, w, 1) <= 1 for c in _less(w) for v in self.near.get(c, ()))
+
+    def knows(self, w: str) -> bool:
+        return w in self.usual or w in self.short
+
+    def fulls(self, w: str) -> frozenset:
+        return self.short.get(w, frozenset())
+
+    def initials(self, w: str) -> set[str]:
+        """First letters of what a name is short for, and of its short forms."""
+        return {f[0] for f in self.fulls(w)} | {s[0] for s, f in self.short.items() if w in f}
+
+
+@lru_cache(maxsize=_CACHED)
 def plain(s: str | None) -> str:
     """Folded text; null and the text ``nan`` give the empty string."""
     if s is None:
@@ -37,6 +72,7 @@ def plain(s: str | None) -> str:
     return "" if s == "nan" else s
 
 
+@lru_cache(maxsize=_CACHED)
 def sound(w: str) -> str:
     """A surname without the differences that transliteration and poor scans make."""
     w = w.replace("0", "o").replace("1", "l").replace("5", "s")
@@ -54,7 +90,7 @@ def _tokens(s: str) -> list[str]:
     return out
 
 
-def read_person(first: str | None, last: str | None, given_names: frozenset | set) -> tuple[str, list[str]]:
+def read_person(first: str | None, last: str | None, lex: Lexicon) -> tuple[str, list[str]]:
     """Given name (or its initial) and parts of the surname, whatever the order and the fields they were typed in."""
     f, l = plain(first), plain(last)
     if f and l:
@@ -65,7 +101,9 @@ def read_person(first: str | None, last: str | None, given_names: frozenset | se
             b = b[:1]
         long_a, long_b = [w for w in a if len(w) > 1], [w for w in b if len(w) > 1]
         if f:
-            known_a, known_b = any(w in given_names or w in SHORT for w in long_a), any(w in given_names or w in SHORT for w in long_b)
+            known_a, known_b = any(map(lex.knows, long_a)), any(map(lex.knows, long_b))
+            if not known_a and not known_b and long_a and long_b:  # perhaps a given name with a typo
+                known_a, known_b = any(map(lex.likes, long_a)), any(map(lex.likes, long_b))
             if (known_b and not known_a and long_a) or (long_a and not long_b and b):
                 a, b = b, a
             return _given(a), _parts([w for w in b if len(w) > 1])
@@ -75,16 +113,16 @@ def read_person(first: str | None, last: str | None, given_names: frozenset | se
         t = _tokens(tail)
         if t:
             h = _tokens(head)
-            if h and any(w in given_names or w in SHORT for w in h) and not any(w in given_names or w in SHORT for w in t):
+            if h and any(map(lex.knows, h)) and not any(map(lex.knows, t)):
                 t, h = h, t
             return _given(t), _parts([w for w in h if len(w) > 1])
         s = head
     t = _tokens(s)
     if len(t) < 2:
         return ("", _parts(t)) if not f else (_given(t), [])
-    if t[0] not in given_names and t[0] not in SHORT and len(t[0]) > 1:
+    if not lex.knows(t[0]) and len(t[0]) > 1:
         for i in (len(t) - 1, 1):
-            if t[i] in given_names:
+            if t[i] in lex.usual:
                 return t[i], _parts([w for j, w in enumerate(t) if j != i and len(w) > 1])
         if len(t[-1]) == 1 and len(t) == 2:
             return t[-1], _parts(t[:1])
@@ -99,44 +137,60 @@ def _given(t: list[str]) -> str:
 def _parts(t: list[str]) -> list[str]:
     out = [sound(re.sub("['’-]", "", w)) for w in t]
     for w in t:
-        for x in re.split(r"['’-]", w):
+        pieces = re.split(r"['’-]", w)
+        out += ["".join(map(sound, pieces[:n])) for n in range(2, len(pieces))]  # one surname written with a dash before another
+        for x in pieces:
             out.append(sound(x))
-            if re.search("[aou]e|ie|y", x):  # where a typo can look like a transliteration
+            if re.search(r"[aou]e|ie|y|(.)\1", x):  # where a typo can look like a transliteration
                 out.append(x)
     return [x for x in dict.fromkeys(out) if len(x) > 2] or [x for x in dict.fromkeys(out) if x]
 
 
-def read_firm(company: str | None) -> list[str]:
-    """The words that name a firm, folded: usually a coined word and one for its trade."""
-    if not company or plain(company) == "":
-        return []
+@lru_cache(maxsize=_CACHED)
+def _firm_words(company: str) -> tuple[str, ...]:
     s = re.sub(r"([^\W\d_])(?=[A-Z])", lambda m: m.group() + " " if m.group().islower() else m.group(), company)
     s = re.sub(r"(?<=\w)\.(?=\w\b)", "", plain(s.split(",")[0] if "," in s else s)).replace("int'l", "")
     out = [w.replace("0", "o").replace("1", "l") for w in re.findall(r"[^\W_]+", s)]
-    return [w for w in out if w not in LEGAL and len(w) > 1][:4]
+    return tuple(w for w in out if w not in LEGAL and len(w) > 1)
+
+
+def read_firm(company: str | None) -> list[str]:
+    """The words that name a firm, folded: usually a coined word and one for its trade, all of them where there are more."""
+    if not company or plain(company) == "":
+        return []
+    return list(_firm_words(company))
 
 
 def edits(a: str, b: str, most: int) -> int:
-    """Insertions, deletions, replacements and swaps of neighbours between ``a`` and ``b``; ``most + 1`` if more."""
+    """Insertions, deletions, replacements and swaps of neighbours between ``a`` and ``b``; ``most + 1`` if more.
+
+    Swaps are unrestricted (letters may be put between the two swapped), so that this is a metric: the triangle
+    inequality holds.
+    """
     if a == b:
         return 0
     if abs(len(a) - len(b)) > most:
         return most + 1
-    before, last = None, list(range(len(b) + 1))
+    far = len(a) + len(b)
+    d = [[far] * (len(b) + 2)] + [[far, i] + [0] * len(b) for i in range(len(a) + 1)]
+    d[1][1:] = range(len(b) + 1)
+    last_row: dict[str, int] = {}
     for i, x in enumerate(a, 1):
-        row = [i]
+        last_col = 0
+        row, up = d[i + 1], d[i]
         for j, y in enumerate(b, 1):
-            c = min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y))
-            if before is not None and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                c = min(c, before[j - 2] + 1)
-            row.append(c)
-        if min(row) > most:
+            k, l = last_row.get(y, 0), last_col
+            c = up[j] + (x != y)
+            if x == y:
+                last_col = j
+            row[j + 1] = min(c, row[j] + 1, up[j + 1] + 1, d[k][l] + (i - k - 1) + 1 + (j - l - 1))
+        last_row[x] = i
+        if min(row[1:]) > most and min(up[1:]) > most:
             return most + 1
-        before, last = last, row
-    return min(last[-1], most + 1)
+    return min(d[-1][-1], most + 1)
 
 
-def same_given(a: str, b: str, known: frozenset | set) -> bool:
+def same_given(a: str, b: str, lex: Lexicon) -> bool:
     """Whether two given names can be one: equal, an initial, a short form, or a typo of each other where not both are usual names."""
     if not a or not b:
         return False
@@ -144,13 +198,14 @@ def same_given(a: str, b: str, known: frozenset | set) -> bool:
         return True
     if len(a) == 1 or len(b) == 1:
         x, y = (a, b) if len(a) == 1 else (b, a)
-        return y[0] == x or any(f[0] == x for f in SHORT.get(y, ())) or x in INITIALS.get(y, ())
-    if b in SHORT.get(a, ()) or a in SHORT.get(b, ()) or SHORT.get(a, set()) & SHORT.get(b, set()):
+        return y[0] == x or x in lex.initials(y)
+    fa, fb = lex.fulls(a), lex.fulls(b)
+    if b in fa or a in fb or fa & fb:
         return True
     sa, sb = sound(a), sound(b)
     if sa == sb:
         return True
-    if a in known and b in known:
+    if a in lex.usual and b in lex.usual:
         return False
     return min(edits(sa, sb, 2), edits(a, b, 2)) <= (1 if min(len(a), len(b)) < 8 else 2)
 
