@@ -175,6 +175,7 @@ def _marks() -> tuple[re.Pattern, dict[int, frozenset]]:
     return re.compile("|".join(dict.fromkeys(pairs))), become
 
 
+_LOST = re.compile("[\x80-\x84\x86-\x9f�]")
 _HIGH = re.compile(r"[\x80-˿Ѐ-ԯ‐-™]{2,}")
 _ASIAN = re.compile(r"[⺀-퟿豈-﫿＀-￯]")
 
@@ -257,7 +258,7 @@ def decode(text: str, model: Model) -> tuple[bool, str, float]:
         at = b
     out.append(text[at:])
     gain = score - plain
-    lost = "�" in text or any("\x80" <= c <= "\x9f" and c != "\x85" for c in text)
+    lost = bool(_LOST.search(text))
     sure = all(k == 0 or CHANNELS[k - 1][0] == "utf-8" for k in states)  # valid UTF-8 by chance is rare
     return (changed and gain >= (0.1 if sure else GAIN)) or lost, "".join(out), round(gain, 4)
 
@@ -272,7 +273,7 @@ def _count_udf():
                     s = f" {text[a:b]} "
                     pairs.update(map("".join, zip(s, s[1:])))
                     w = text[a:b].strip("\"'.,;:!?()[]{}«»„“”‘’-–—*•")
-                    if 1 < len(w) <= 60:
+                    if len(w) > 1:
                         words[w] += 1
             yield pd.DataFrame([("p", k, n) for k, n in pairs.items()] + [("w", k, n) for k, n in words.items()], columns=["kind", "k", "n"])
 
@@ -292,10 +293,10 @@ def restore(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     Null, empty and blank texts aren't affected; what can't be restored stays as it was, with U+FFFD where characters
     are lost. Equal texts are decoded once. Other columns are ignored.
     """
-    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull() & F.col("text").rlike(r"[^\x00-\x7F]|&[A-Za-z]+;"))
+    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull() & F.col("text").rlike(r"[^\x00-\x7F]|&(?:#x?[0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);"))
     docs = docs.withColumn("h", F.xxhash64("text")).withColumn("h2", F.hash("text"))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.groupBy("h", "h2").agg(F.first("text").alias("text")).repartition(n, "h")
+    texts = cut(docs.groupBy("h", "h2").agg(F.first("text").alias("text")).repartition(n, "h"))  # read for the model and again for decoding
     model = df.sparkSession.sparkContext.broadcast(learn(texts))
 
     @F.pandas_udf("found boolean, restored string, gain double")

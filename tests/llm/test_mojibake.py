@@ -32,9 +32,10 @@ def make():
 
 def test_found_and_restored(spark):
     rows, bad, whole = make()
-    rows += [(1000, None, ""), (1001, "", ""), (1002, " 　", ""), (1003, "plain ascii & more", ""), (1004, "una informaci�n", ""), (1004, "una informaci�n", ""), (1005, "x" * 100_000 + " é", "")]
+    rows += [(1000, None, ""), (1001, "", ""), (1002, " 　", ""), (1003, "plain ascii & more", ""), (1004, "una informaci�n", ""), (1004, "una informaci�n", ""), (1005, "x" * 100_000 + " é", ""), (1006, "el informe da informaci&#195;&#179;n de la firma", ""), (1007, "R&#38;D &amp; tax", "")]
     got = mojibake.restore(spark.createDataFrame(rows, "doc_id long, text string, restored string")).collect()
-    assert {r.doc_id for r in got} == bad | {1004}
+    assert {r.doc_id for r in got} == bad | {1004, 1006}
+    assert [r.restored for r in got if r.doc_id == 1006] == ["el informe da información de la firma"]
     assert sum(r.doc_id == 1004 for r in got) == 2
     assert all(r.restored == "una información" for r in got if r.doc_id == 1004)
     ok = [r.restored == whole[r.doc_id] for r in got if r.doc_id in whole]
