@@ -204,6 +204,8 @@ def _options(tok: str, model: Model) -> dict[int, tuple[str, float]]:
         elif not high:
             continue
         t = undo(tok, ch)
+        if ch[1] == "html" and t is not None and t.isascii():
+            continue  # an escape of a plain sign is no wrong encoding
         if t is not None and t != tok and t and not any(c < " " or "\x7f" <= c <= "\x9f" for c in t):
             out[k] = (t, model.score(t))
     return out
