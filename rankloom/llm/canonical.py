@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from rankloom.functions.text import is_blank
 from rankloom.session import cut
 
+#: Variants of entries (ranks, areas and regions combined) that are sent to every task; more are joined like any table.
+MOST_VARIANTS = 300_000
 #: Least Jaccard of trigrams; entries of the list at most; share of the functions from which on a word names a rank.
 JACCARD, MOST_ENTRIES, RANK_SPREAD = 0.6, 50_000, 0.4
 
@@ -181,7 +183,7 @@ class Reference:
 def _shortened(w: str) -> set[str]:
     """``w`` with none, one or (from seven letters on) two letters left out: words within as many edits share one of them."""
     one = {w[:i] + w[i + 1 :] for i in range(len(w))}
-    return {w} | one | ({x[:i] + x[i + 1 :] for x in one for i in range(len(x))} if 7 <= len(w) <= 30 else set())
+    return {w} | one | ({x[:i] + x[i + 1 :] for x in one for i in range(len(x))} if len(w) >= 7 else set())
 
 
 def _within(w: str, v: str) -> bool:
@@ -265,9 +267,12 @@ def map_values(df: DataFrame, reference: DataFrame, id_col: str = "row_id", valu
     come in; an empty list maps all to ``''``; other columns are ignored. Of equally near variants the first in alphabet is taken.
     """
     spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     entries = reference.select("title_raw", "title_native", "region", "normalized_title", "function").limit(MOST_ENTRIES + 1)
     ref = Reference([r.asDict() for r in entries.collect()])
     b = spark.sparkContext.broadcast(ref)
+    small = len(ref.of) <= MOST_VARIANTS
+    sent = F.broadcast if small else (lambda x: x)
 
     @F.pandas_udf("array<string>")
     def read(s: pd.Series) -> pd.Series:
@@ -275,14 +280,14 @@ def map_values(df: DataFrame, reference: DataFrame, id_col: str = "row_id", valu
 
     raw = entries.select(F.col("title_raw").alias("v")).filter("v is not null").distinct()
     rows = df.select(F.col(id_col).alias("row_id"), F.col(value_col).alias("v")).filter(~is_blank("v")).join(F.broadcast(raw), "v", "left_anti")
-    typed = cut(rows.groupBy("v").agg(F.count(F.lit(1)).alias("n")).repartition("v").select("v", read("v").alias("forms")))
+    typed = cut(rows.groupBy("v").agg(F.count(F.lit(1)).alias("n")).repartition(n, "v").select("v", read("v").alias("forms")))
     forms = cut(typed.select(F.explode("forms").alias("l")).distinct())
     variants = spark.createDataFrame(sorted(ref.of.items()) or [("", "")], "r string, t string")
-    same = forms.join(F.broadcast(variants), F.col("l") == F.col("r")).select("l", "t", F.lit(0).alias("edits"), F.lit(1.0).alias("jaccard"), "r")
-    rest = forms.join(F.broadcast(variants), F.col("l") == F.col("r"), "left_anti").filter(F.length(_squash("l")) <= max(map(len, ref.of), default=0) + 4)  # longer ones are more than four edits from every variant
-    near = similar_pairs(rest, variants.select("r"), broadcast_right=True)
+    same = forms.join(sent(variants), F.col("l") == F.col("r")).select("l", "t", F.lit(0).alias("edits"), F.lit(1.0).alias("jaccard"), "r")
+    rest = forms.join(sent(variants), F.col("l") == F.col("r"), "left_anti").filter(F.length(_squash("l")) <= max(map(len, ref.of), default=0) + 4)  # longer ones are more than four edits from every variant
+    near = similar_pairs(rest, variants.select("r"), broadcast_right=small)
     most = F.least(F.lit(4), F.floor(F.length(_squash("r")) / 7))
-    near = near.filter(F.col("edits") <= most).join(F.broadcast(variants), "r").select("l", "t", "edits", "jaccard", "r")
+    near = near.filter(F.col("edits") <= most).join(sent(variants), "r").select("l", "t", "edits", "jaccard", "r")
     best = same.unionByName(near).groupBy("l").agg(F.min_by("t", F.struct("edits", -F.col("jaccard"), "r")).alias("t"), F.min("edits").alias("edits"))
     meant = typed.select("v", F.posexplode("forms").alias("pos", "l")).join(best, "l").groupBy("v").agg(F.min_by("t", F.struct("edits", "pos")).alias("t"))
     return rows.join(meant, "v", "left").select("row_id", F.coalesce("t", F.lit("")).alias("normalized_title"))
