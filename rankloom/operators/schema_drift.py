@@ -49,6 +49,50 @@ def file_schemas(fields: DataFrame) -> DataFrame:
     return fields.groupBy("feed", "file_no", "field").agg(F.count(F.lit(1)).alias("n"), *counts).select("feed", "file_no", "field", kind.alias("kind"), "n")
 
 
+def explode_paths(fields: DataFrame, deepest: int | None = None) -> DataFrame:
+    """``fields`` and everything inside their lists and objects: ``record_id, feed, file_no, line_no, path, kind, value``.
+
+    A path is the names on the way, joined by dots, with ``[]`` for the items of a list. Level by level until nothing is
+    nested any more (or ``deepest`` levels).
+    """
+    keep = ("record_id", "feed", "file_no", "line_no")
+    level = fields.select(*keep, F.col("field").alias("path"), "kind", "value")
+    out, depth = level, 0
+    tvf = fields.sparkSession.tvf
+    t = F.expr("schema_of_variant(inner)")
+    kind = F.when(t == "STRING", "text").when(t.rlike(_NUMBER), "number").when(t == "BOOLEAN", "boolean").when(t.startswith("ARRAY"), "list").when(t.startswith("OBJECT"), "object")
+    while deepest is None or depth < deepest:
+        nested = level.filter(F.col("kind").isin("list", "object")).withColumnRenamed("value", "v").withColumnRenamed("kind", "outer_kind")
+        inside = nested.lateralJoin(tvf.variant_explode(F.col("v").outer())).withColumnRenamed("value", "inner")
+        level = cut(inside.select(*keep, F.when(F.col("outer_kind") == "list", F.concat("path", F.lit("[]"))).otherwise(F.concat("path", F.lit("."), "key")).alias("path"), kind.alias("kind"), F.col("inner").alias("value")))
+        if level.isEmpty():
+            break
+        out = out.unionByName(level)
+        depth += 1
+    return out
+
+
+def alternatives(df: DataFrame) -> DataFrame:
+    """``feed, file_no, path, kind, n, appears``: of each file every type that a path has, however rare, with its number of
+    values; ``appears`` tells that the file before in the feed has the path not in that type. Nulls have no type. Copies of a file count as one."""
+    once = df.filter("feed is not null and file_no is not null").groupBy("feed", "file_no", "line_no", "payload").agg(F.min("record_id").alias("record_id"), F.min("uploaded_at").alias("uploaded_at"))
+    found = cut(explode_paths(explode_payloads(once)).filter("kind is not null").groupBy("feed", "file_no", "path", "kind").agg(F.count(F.lit(1)).alias("n")))
+    files = found.select("feed", (F.col("file_no") + 1).alias("file_no")).distinct().withColumn("follows", F.lit(True))
+    before = found.select("feed", (F.col("file_no") + 1).alias("file_no"), "path", "kind", F.lit(True).alias("was"))
+    j = found.join(files, ["feed", "file_no"], "left").join(before, ["feed", "file_no", "path", "kind"], "left")
+    return j.select("feed", "file_no", "path", "kind", "n", (F.coalesce("follows", F.lit(False)) & F.col("was").isNull()).alias("appears"))
+
+
+def typed_paths(df: DataFrame) -> DataFrame:
+    """Every value that isn't a list or object, at any depth, as one row in the branch of its type: ``record_id, feed, file_no, line_no, path, kind, as_text, as_number, as_boolean``."""
+    flat = explode_paths(explode_payloads(df.filter("feed is not null and file_no is not null"))).filter("kind in ('text', 'number', 'boolean')")
+    text = F.expr("cast(value as string)")
+    return flat.select(
+        "record_id", "feed", "file_no", "line_no", "path", "kind", F.when(F.col("kind") == "text", text).alias("as_text"),
+        F.when(F.col("kind") == "number", F.expr("try_variant_get(value, '$', 'double')")).alias("as_number"), F.when(F.col("kind") == "boolean", F.expr("try_variant_get(value, '$', 'boolean')")).alias("as_boolean"),
+    )
+
+
 def _profiles(fields: DataFrame, wanted: DataFrame) -> DataFrame:
     """``feed, file_no, field, part, feature, c``: how often a feature occurs among the values of each wanted field."""
     text = F.when(F.col("kind") == "text", F.expr("cast(value as string)")).otherwise(F.expr("to_json(value)"))

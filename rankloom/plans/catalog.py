@@ -27,6 +27,19 @@ def p6_unified(spark: SparkSession, d: str) -> DataFrame:
     return schema_drift.unify(table(spark, d, "raw_uploads"))
 
 
+def p6_alternatives(spark: SparkSession, d: str) -> DataFrame:
+    return schema_drift.alternatives(table(spark, d, "raw_uploads"))
+
+
+_ALTERNATIVES_SQL = """
+WITH u AS (SELECT DISTINCT feed, file_no, line_no, payload FROM raw_uploads WHERE feed IS NOT NULL AND file_no IS NOT NULL AND json_valid(payload)),
+o AS (SELECT * FROM u WHERE json_type(payload) = 'OBJECT'),
+t AS (SELECT feed, file_no, unnest(list_filter((SELECT list((fullkey, type)) FROM json_tree(o.payload)), lambda x: x[1] <> '$')) AS x FROM o),
+k AS (SELECT feed, file_no, replace(substr(regexp_replace(x[1], '\\[\\d+\\]', '[]', 'g'), 3), '"', '') AS path, CASE WHEN x[2] = 'VARCHAR' THEN 'text' WHEN x[2] IN ('BIGINT', 'UBIGINT', 'DOUBLE', 'HUGEINT') THEN 'number' WHEN x[2] = 'BOOLEAN' THEN 'boolean' WHEN x[2] = 'ARRAY' THEN 'list' WHEN x[2] = 'OBJECT' THEN 'object' END AS kind FROM t),
+f AS (SELECT feed, file_no, path, kind, count(*) AS n FROM k WHERE kind IS NOT NULL GROUP BY ALL)
+SELECT f.*, EXISTS (SELECT 1 FROM f p WHERE p.feed = f.feed AND p.file_no = f.file_no - 1) AND NOT EXISTS (SELECT 1 FROM f p WHERE p.feed = f.feed AND p.file_no = f.file_no - 1 AND p.path = f.path AND p.kind = f.kind) AS appears FROM f"""
+
+
 def _people(s: SparkSession, d: str) -> DataFrame:
     return people.normalize(table(s, d, "test_data"))
 
@@ -284,6 +297,7 @@ def _q() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None
         ),
         "p6_found": (p6_found, None),
         "p6_unified": (p6_unified, None),
+        "p6_alternatives": (p6_alternatives, _ALTERNATIVES_SQL),
     }
 
 

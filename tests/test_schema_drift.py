@@ -57,9 +57,22 @@ def test_unify(spark, drifting):
     assert one.kind == "number" and float(one.canonical_text) == one.as_number
 
 
+def test_alternatives_per_path(spark):
+    """Every type of a path, also one that a single record has, at any depth; and when it appears."""
+    files = {1: [{"a": 1, "o": {"x": [1, 2]}}, {"a": 2}], 2: [{"a": 1, "o": {"x": ["t", None, {"y": True}]}}, {"a": "odd"}, "broken"]}
+    df = spark.createDataFrame(rows("f", files) + rows("f", files)[:1], SCHEMA)
+    got = {(r.file_no, r.path, r.kind): (r.n, r.appears) for r in sd.alternatives(df).collect()}
+    assert got == {
+        (1, "a", "number"): (2, False), (1, "o", "object"): (1, False), (1, "o.x", "list"): (1, False), (1, "o.x[]", "number"): (2, False),
+        (2, "a", "number"): (1, False), (2, "a", "text"): (1, True), (2, "o", "object"): (1, False), (2, "o.x", "list"): (1, False), (2, "o.x[]", "text"): (1, True), (2, "o.x[]", "object"): (1, True), (2, "o.x[].y", "boolean"): (1, True),
+    }
+    typed = {(r.file_no, r.path, r.kind): (r.as_text, r.as_number, r.as_boolean) for r in sd.typed_paths(df).filter("file_no = 2").collect()}
+    assert typed[2, "o.x[]", "text"] == ("t", None, None) and typed[2, "o.x[].y", "boolean"] == (None, None, True) and typed[2, "a", "number"] == (None, 1.0, None)
+
+
 def test_empty_and_null(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert sd.report_changes(empty).count() == 0
-    assert sd.unify(empty).count() == 0
+    assert sd.unify(empty).count() == 0 and sd.alternatives(empty).count() == 0
     nulls = spark.createDataFrame([(1, None, 1, None, None, None, '{"a": 1}'), (2, "f", None, None, None, 1, "{}"), (3, "f", 1, None, None, 1, "{}")], SCHEMA)
     assert sd.report_changes(nulls).count() == 0
