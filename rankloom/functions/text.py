@@ -25,3 +25,16 @@ def missing_to_null(c: Column | str) -> Column:
     """Stripped text; null where blank or one of ``nan``, ``none``, ``null`` in any case."""
     s = strip(c)
     return F.when(F.coalesce(F.lower(s).isin("", "nan", "none", "null"), F.lit(True)), F.lit(None)).otherwise(s)
+
+
+_WS = r"[\s\x{0B}\x{85}\p{Z}\x{200B}\x{200C}\x{200D}\x{2060}\x{FEFF}]"
+
+
+def strip_sql(x: str) -> str:
+    """``strip`` as DuckDB SQL."""
+    return f"regexp_replace({x}, '^{_WS}+|{_WS}+$', '', 'g')"
+
+
+def squeeze_sql(x: str) -> str:
+    """``squeeze`` as DuckDB SQL."""
+    return strip_sql(rf"regexp_replace({x}, '[\s\x{{0B}}\x{{85}}\p{{Z}}\x{{200B}}\x{{2060}}\x{{FEFF}}]+', ' ', 'g')")

@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankloom.functions.rules import any_of, quote
-from rankloom.functions.text import squeeze, strip
-from rankloom.plans import sql
+from rankloom.functions.text import squeeze, squeeze_sql, strip, strip_sql
 
 #: Letters that ``fold`` can reduce to a base letter: everything of these blocks that decomposes to one letter and marks.
 _BLOCKS = ((0x00C0, 0x0250), (0x1E00, 0x1F00))
@@ -81,7 +80,7 @@ def translate_sql(x: str) -> str:
     done = x
     for p, e in _steps():
         done = f"regexp_replace({done}, {quote(p)}, {quote(e)}, 'g')"
-    return f"CASE WHEN coalesce(regexp_matches({x}, {quote(FOREIGN)}) OR regexp_matches(regexp_replace({x}, '[\\x00-\\x7F]', '', 'g'), '\\p{{L}}'), false) THEN {sql.strip(fold_sql(done))} ELSE {x} END"
+    return f"CASE WHEN coalesce(regexp_matches({x}, {quote(FOREIGN)}) OR regexp_matches(regexp_replace({x}, '[\\x00-\\x7F]', '', 'g'), '\\p{{L}}'), false) THEN {strip_sql(fold_sql(done))} ELSE {x} END"
 
 
 def translated(title: str) -> str:
@@ -112,7 +111,7 @@ def expand_sql(x: str) -> str:
     out = f"lower({x})"
     for a, full in sorted(ABBREVIATIONS.items(), key=lambda kv: (-len(kv[0]), kv[0])):
         out = f"regexp_replace({out}, {quote(rf'(^|[^a-z]){re.escape(a)}\.?($|[^a-z])')}, {quote(rf'\1{full}\2')}, 'g')"
-    return sql.squeeze(out)
+    return squeeze_sql(out)
 
 
 def without_modifiers(c: Column | str) -> Column:
@@ -120,7 +119,7 @@ def without_modifiers(c: Column | str) -> Column:
 
 
 def without_modifiers_sql(x: str) -> str:
-    return sql.squeeze(f"regexp_replace(lower({x}), '\\b(?:{MODIFIERS})\\b', ' ', 'g')")
+    return squeeze_sql(f"regexp_replace(lower({x}), '\\b(?:{MODIFIERS})\\b', ' ', 'g')")
 
 
 # ---------------------------------------------------------------------------

@@ -4,18 +4,8 @@ from __future__ import annotations
 
 from rankloom.functions import rules as R
 from rankloom.functions.rules import lit_sql, quote
-
-_WS = r"[\s\x{0B}\x{85}\p{Z}\x{200B}\x{200C}\x{200D}\x{2060}\x{FEFF}]"
-
-
-def strip(x: str) -> str:
-    return f"regexp_replace({x}, '^{_WS}+|{_WS}+$', '', 'g')"
-
-
-def squeeze(x: str) -> str:
-    sq = rf"regexp_replace({x}, '[\s\x{{0B}}\x{{85}}\p{{Z}}\x{{200B}}\x{{2060}}\x{{FEFF}}]+', ' ', 'g')"
-    return strip(sq)
-
+from rankloom.functions.text import squeeze_sql as squeeze
+from rankloom.functions.text import strip_sql as strip
 
 def missing(x: str) -> str:
     return f"CASE WHEN coalesce(lower({strip(x)}), '') IN ('', 'nan', 'none', 'null') THEN NULL ELSE {strip(x)} END"
@@ -81,14 +71,11 @@ classified AS (SELECT *, {_SUB} AS dept_secondary FROM c1)"""
 def flags(title: str) -> dict[str, str]:
     t = f"lower({strip(title)})"
     m = lambda p: f"regexp_matches({t}, {quote(p)})"
-    chair = f"(NOT {m(chr(92) + 'b(?:vice|deputy|assistant)' + chr(92) + 'b')} AND NOT contains({t}, 'committee') AND NOT {m(R.REGIONAL_CHAIR)} AND {m(R.BOARD_CHAIR)})"
-    committee = f"({m(R.COMMITTEE)} AND {m(chr(92) + 'bchair(?:man|woman|person)?' + chr(92) + 'b')})"
-    ceo = f"(NOT {m('deputy|vice|assistant|associate')} AND {m(r'\bchief\s+executive\b|\bceo\b|^(?:group\s+)?president$|^(?:group\s+)?managing\s+director$')})"
-    regional = f"({m(R.REGIONAL)} AND NOT {m(R.GLOBAL_APEX)} AND ({m(R.APEX_ROLE)} OR {m(R.HEAD_OF_REGION)}))"
-    csuite = f"(NOT {m(r'\bchief\s+of\s+staff\b')} AND {m(R.CSUITE)})"
-    role = f"CASE WHEN {chair} THEN 'chairman' WHEN {m(R.VICE_CHAIR)} THEN 'vice_chair' WHEN {m(r'\b(?:lead|senior)\s+independent\s+director\b|\bpresiding\s+director\b')} THEN 'lead_director' " + " ".join(f"WHEN {committee} AND {m(p)} THEN {quote(k)}" for k, p in R.COMMITTEES) + f" WHEN {committee} THEN 'committee_chair' ELSE 'director' END"
-    region = f"CASE WHEN {m(r'\b(?:global|group)\s+(?:ceo|chief|president|managing|head)\b')} THEN 'Global HQ' ELSE {R.EXEC_REGIONS.sql(t, 'Global HQ')} END"
-    return {"is_chairman": chair, "is_vice_chair": m(R.VICE_CHAIR), "is_committee_chair": committee, "is_ceo": ceo, "is_csuite": csuite, "is_regional": regional, "board_sub_role": role, "exec_region": region}
+    out = {k: "(" + " AND ".join([*map(m, r["all"]), *(f"NOT {m(p)}" for p in r["none"])]) + ")" for k, r in R.FLAGS.items()}
+    by_committee = " ".join(f"WHEN {out['is_committee_chair']} AND {m(p)} THEN {quote(k)}" for k, p in R.COMMITTEES)
+    out["board_sub_role"] = f"CASE WHEN {out['is_chairman']} THEN 'chairman' WHEN {out['is_vice_chair']} THEN 'vice_chair' WHEN {m(R.LEAD_DIRECTOR)} THEN 'lead_director' {by_committee} WHEN {out['is_committee_chair']} THEN 'committee_chair' ELSE 'director' END"
+    out["exec_region"] = f"CASE WHEN {m(R.HEAD_OFFICE_TITLE)} THEN 'Global HQ' ELSE {R.EXEC_REGIONS.sql(t, 'Global HQ')} END"
+    return out
 
 
 _F = flags("designation")
