@@ -49,6 +49,20 @@ def columns_of_four(placed: DataFrame, per_column: int = 4, per_slide: int = 6)
     )
 
 
+def slides(placed: DataFrame) -> DataFrame:
+    """``columns_of_four`` with each department's head (``is_head``: its most senior person) and, for people of no sub-department
+    where others of the department have one, ``is_orphan``: they fill columns of their own."""
+    heads = placed.groupBy("dept").agg(F.min_by("id", F.struct("at_layer", "full_name", "id")).alias("head"), F.max((F.col("sub_dept") != "").cast("int")).alias("parted"))
+    return columns_of_four(placed).join(heads, "dept").select("dept", "sub_dept", "id", "col", "row", "slide", (F.col("id") == F.col("head")).alias("is_head"), ((F.col("sub_dept") == "") & (F.col("parted") == 1)).alias("is_orphan"))
+
+
+def panel_labels(people: DataFrame) -> DataFrame:
+    """``people`` (``dept, at_layer, board_sub_role``) with the ``label`` of its layer in the panel and that of its board role."""
+    board = F.contains("dept", F.lit("Board"))
+    label = F.when(board, F.coalesce(R.BOARD_LABELS.column(F.col("at_layer")), R.PANEL_LABELS.column(F.col("at_layer")))).otherwise(R.PANEL_LABELS.column(F.col("at_layer")))
+    return people.withColumn("label", label).withColumn("role_label", F.coalesce(R.BOARD_ROLE_LABELS.column(F.col("board_sub_role")), F.lit("")))
+
+
 def spread(heads: int, members: int) -> list[tuple[int, int]]:
     """Which members go under which head: head i gets [i*m//n, (i+1)*m//n)."""
     return [(i * members // heads, (i + 1) * members // heads) for i in range(heads)]

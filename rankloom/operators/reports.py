@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions import places, titles
-from rankloom.functions.text import missing_to_null
+from rankloom.functions.text import missing_to_null, strip
 from rankloom.operators.taxonomy import geographic_roots
 from rankloom.session import cut
 
@@ -126,6 +126,22 @@ def bump_versions(archetypes: DataFrame, promoted: DataFrame) -> DataFrame:
     return archetypes.join(got, "archetype_id", "left").withColumn("version", F.col("version") + F.coalesce("got_", F.lit(False)).cast("int")).drop("got_")
 
 
+def page_with_total(df: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
+    """A page of at most 5,000 rows in order, each with the ``total`` of all."""
+    df = cut(df)  # counted and paged
+    return df.crossJoin(df.agg(F.count(F.lit(1)).alias("total"))).orderBy(*order).offset(offset).limit(min(limit, 5_000))  # one row on the right
+
+
+def wire_nodes(records: DataFrame) -> DataFrame:
+    """Records of the service as nodes of a chart: ``node_id, label, layer, designation, department, sector, linkedin_url``, each by the first of its names that has a value."""
+    have = set(records.columns)
+    pick = lambda *names: F.coalesce(*[F.nullif(strip(F.col(n).cast("string")), F.lit("")) for n in names if n in have], F.lit(""))
+    return records.select(
+        pick("node_id", "id").alias("node_id"), pick("label", "full_name", "name").alias("label"), F.coalesce(pick("layer", "at_layer", "level").try_cast("int"), F.lit(10)).alias("layer"), pick("designation", "title").alias("designation"),
+        pick("dept_primary", "dept", "department").alias("department"), pick("sector").alias("sector"), pick("linkedin_url", "url").alias("linkedin_url"),
+    )
+
+
 PANEL_COLUMNS = ("Name", "Title", "Panel", "Layer", "Region", "Location", "LinkedIn", "Source")
 
 

@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.functions import markup, places
+from rankloom.functions import markup, misc, places
+from rankloom.functions import rules as R
 from rankloom.functions import titles as T
 from rankloom.functions.rules import quote
 from rankloom.functions.text import missing_to_null
-from rankloom.operators import cascade, departments, directory, leadership, ledger, reports, taxonomy, tree
+from rankloom.operators import cascade, departments, directory, layout, leadership, ledger, people, reports, taxonomy, tree
 from rankloom.operators.graph import ROOT
 from rankloom.plans import catalog, sql
 from rankloom.session import cut
@@ -414,6 +415,30 @@ def _q() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None
             lambda s, d: library.ranked_addresses(_leaders(s, d).select(F.regexp_replace(library.host_of("source_url"), "^www\\.", "").alias("domain")).distinct().withColumn("firm", F.col("domain"))).groupBy("firm").agg(F.count(F.lit(1)).alias("n"), F.min_by("url", "rank").alias("best")),
             rf"WITH f AS (SELECT DISTINCT regexp_replace(regexp_extract(lower(source_url), '^\s*[a-z][a-z0-9+.-]*://([^/?#:\s]+)', 1), '^www\.', '') AS firm FROM authoritative_leaders) SELECT firm, {2 * len(library.LEADER_PATHS)}::BIGINT AS n, 'https://www.' || firm || '{library.LEADER_PATHS[0]}' AS best FROM f WHERE firm <> ''",
         ),
+        "slides_with_heads": (
+            lambda s, d: layout.slides(catalog._placed(s, d)).select("dept", "id", "is_head", "is_orphan"),
+            sql.PLACED + " SELECT dept, id, id = first_value(id) OVER (PARTITION BY dept ORDER BY at_layer, full_name, id) AS is_head, sub_dept = '' AND bool_or(sub_dept <> '') OVER (PARTITION BY dept) AS is_orphan FROM placed",
+        ),
+        "panel_labels": (
+            lambda s, d: layout.panel_labels(leadership.injected(_leaders(s, d), _chart_people(s, d))).select("id", "label", "role_label"),
+            INJECTED + f" SELECT id, CASE WHEN contains(dept, 'Board') THEN coalesce({R.BOARD_LABELS.sql('at_layer')}, {R.PANEL_LABELS.sql('at_layer')}) ELSE {R.PANEL_LABELS.sql('at_layer')} END AS label, coalesce({R.BOARD_ROLE_LABELS.sql('board_sub_role')}, '') AS role_label FROM injected",
+        ),
+        "executives_with_total": (
+            lambda s, d: reports.page_with_total(_classified(s, d).filter("layer <= 3").select("id", "layer"), ["layer", "id"], 5, 50),
+            sql.CLASSIFIED + " SELECT id, layer, count(*) OVER () AS total FROM classified WHERE layer <= 3 ORDER BY layer, id LIMIT 50 OFFSET 5",
+        ),
+        "wire_nodes": (
+            lambda s, d: reports.wire_nodes(recs(s, d).withColumn("id", F.col("person_id"))),
+            f"SELECT person_id::VARCHAR AS node_id, coalesce({sql.strip('name')}, '') AS label, 10 AS layer, coalesce({sql.strip('title')}, '') AS designation, coalesce({sql.strip('department')}, '') AS department, '' AS sector, '' AS linkedin_url FROM person_records",
+        ),
+        "metadata_round_trip": (
+            lambda s, d: recs(s, d).select("person_id", misc.unpack_metadata(misc.pack_metadata("name", "title"), "name string, title string").alias("m")).select("person_id", "m.name", "m.title"),
+            "SELECT person_id, name, title FROM person_records",
+        ),
+        "layers_by_level": (
+            lambda s, d: recs(s, d).select("person_id", people.layer(F.coalesce("title", F.lit("")), job_level=F.col("vendor_level")).alias("layer")),
+            f"WITH r AS (SELECT person_id, coalesce(title, '') AS t, {R.JOB_LEVELS.sql('lower(' + sql.strip('vendor_level') + ')')} AS jl FROM person_records) SELECT person_id, CASE WHEN regexp_replace(lower({sql.strip('t')}), {quote(R.OFFICE_OF)}, ' ', 'g') = '' THEN coalesce(jl, 10) ELSE coalesce({sql.acronym('t', R.ACRONYMS)}, {R.CORPORATE_LAYERS.sql('regexp_replace(lower(' + sql.strip('t') + '), ' + quote(R.OFFICE_OF) + ', ' + quote(' ') + ', ' + quote('g') + ')')}, jl, 10) END AS layer FROM r",
+        ),
         # page texts
         "js_shells": (
             lambda s, d: table(s, d, "provenance").select("entry_id", markup.is_js_shell("raw_evidence").alias("shell")),

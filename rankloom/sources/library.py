@@ -94,6 +94,39 @@ def dataset_exists(spark: SparkSession, path: str, dataset_id: str) -> bool:
         return False
 
 
+#: Headers of vendor files by field (fixed values); a header is folded to letters, digits and underscores.
+VENDOR_HEADERS = {"name": ("full_name", "name"), "first_name": ("first_name",), "last_name": ("last_name",), "title": ("job_title", "title"), "company": ("company_name", "company"), "job_country": ("job_location_country", "job_country"), "job_country_code": ("job_location_country_code", "job_country_code"), "job_city": ("job_location_city", "job_city"), "job_state": ("job_location_state", "job_state"), "fallback_country": ("country_name", "country"), "email_domain": ("email_domain",), "job_org_linkedin_url": ("job_org_linkedin_url",), "vendor_function": ("job_function",), "vendor_level": ("job_level",), "linkedin_headline": ("linkedin_headline", "headline"), "linkedin_industry": ("linkedin_industry", "industry")}
+
+
+def map_headers(df: DataFrame, table: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """Columns of a vendor file, of whatever source, under the names of our fields; the first header of a field stands, others are kept as they are unless that name is taken."""
+    fold = {re.sub(r"[^a-z0-9]+", "_", c.strip().lower()).strip("_"): c for c in reversed(df.columns)}
+    used, out = set(), []
+    for field, headers in (VENDOR_HEADERS if table is None else table).items():
+        c = next((fold[h] for h in headers if h in fold and fold[h] not in used), None)
+        if c is not None:
+            used.add(c)
+            out.append(F.col(f"`{c}`").alias(field))
+    taken = {f for f in (VENDOR_HEADERS if table is None else table)}
+    return df.select(*out, *[F.col(f"`{c}`") for c in df.columns if c not in used and c not in taken])
+
+
+def load_demo(spark: SparkSession, path: str) -> DataFrame:
+    """The demonstration file as uploaded people."""
+    from rankloom.operators.people import canonical_headers
+    from rankloom.sources.readers import read_upload
+
+    return canonical_headers(read_upload(spark, path))
+
+
+def reset(spark: SparkSession) -> None:
+    """Forget what the session holds: temporary views and cached tables; stored charts stay."""
+    for t in spark.catalog.listTables():
+        if t.isTemporary:
+            spark.catalog.dropTempView(t.name)
+    spark.catalog.clearCache()
+
+
 #: Where firms show their leaders, best first (fixed values).
 LEADER_PATHS = ("/about/leadership", "/leadership", "/about-us/leadership", "/about/management", "/management", "/about/board-of-directors", "/board-of-directors", "/about/our-team", "/our-team", "/team", "/company/leadership", "/company/management", "/who-we-are/leadership", "/investors/governance", "/investor-relations/board", "/corporate-governance", "/about/executive-team", "/executive-team", "/people", "/about-us", "/about")
 

@@ -104,3 +104,25 @@ def test_reports(spark):
     assert reports.last_change(r).first().type == "moved" and reports.change_counts(r).count() == 2
     n = spark.createDataFrame([(i, f"Ana {i}", "s") for i in range(20)], "nth int, label string, sector string")
     assert reports.client_search(n, "an").count() == 8 and reports.client_search(n, "a").count() == 0
+
+
+def test_small_functions(spark, tmp_path):
+    from rankloom.functions import misc
+
+    df = spark.createDataFrame([("#3491E8", "a"), ("FFFFFF", None), ("#12", "c"), (None, None)], "c string, x string")
+    got = [tuple(r) for r in df.select(misc.rgb("c").alias("r"), misc.luminance("c")).collect()]
+    assert tuple(got[0][0]) == (0x34, 0x91, 0xE8) and got[1][1] == 1.0 and got[2] == (None, None) and got[3] == (None, None)
+    packed = df.select(misc.pack_metadata("c", "x").alias("m")).select(misc.unpack_metadata("m", "x string, other int").alias("u")).select("u.*").collect()
+    assert [tuple(r) for r in packed] == [("a", None), (None, None), ("c", None), (None, None)]
+    assert df.select(misc.unpack_metadata(F.lit("{broken"), "x string").alias("u")).first().u is None or df.select(misc.unpack_metadata(F.lit("{broken"), "x string").alias("u")).first().u.x is None
+    assert spark.range(1).select(misc.utc_stamp(F.lit("2024-01-02 03:04:05").cast("timestamp"))).first()[0] == "2024-01-02T03:04:05Z"
+    v = library.map_headers(spark.createDataFrame([("a", "b", "c", "d")], "`Full Name` string, name string, `JOB TITLE` string, odd string"))
+    assert v.columns == ["name", "title", "odd"] and v.first()[0] == "a"
+    spark.range(1).createOrReplaceTempView("gone")
+    library.reset(spark)
+    assert not [t for t in spark.catalog.listTables() if t.name == "gone"]
+    f = tmp_path / "demo.json"
+    f.write_text(json.dumps([{"FirstName": "Ana", "Designation": "CEO"}]))
+    assert library.load_demo(spark, str(f)).count() == 1
+    w = reports.wire_nodes(spark.createDataFrame([("1", None, "Ana", "x")], "id string, label string, name string, layer string")).first()
+    assert (w.node_id, w.label, w.layer) == ("1", "Ana", 10)
