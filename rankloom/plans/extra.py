@@ -32,7 +32,7 @@ def _chart_people(s: SparkSession, d: str) -> DataFrame:
 
 
 def _classified(s: SparkSession, d: str) -> DataFrame:
-    return catalog._classified(s, d).withColumn("ord", F.substring("id", 2, 20).cast("long"))
+    return cut(catalog._classified(s, d).withColumn("ord", F.substring("id", 2, 20).cast("long")))  # evaluated once: filters on its columns would repeat their rules
 
 
 def _entries(s: SparkSession, d: str) -> DataFrame:
