@@ -38,11 +38,14 @@ from rankloom.session import cut
 CLASS_TOKENS, CLASS_PAGES, GROUP = 3, 3, 16
 #: Bounds of the labelled sample: pages, and characters of a page.
 SAMPLE_PAGES, SAMPLE_CHARS = 3_000, 20_000
-#: A skeleton is furniture from this share of occurrences between template lines, content below the second (both among ``RECURS`` or more).
-BETWEEN, NEVER, RECURS, CASES = 0.05, 0.02, 6, 3
+#: A skeleton is furniture from this share of occurrences between template lines, content below the second, if it occurs ``RECURS`` times or more outside
+#: templates and ``CASES`` times between. One that is in templates in ``BOTH`` of its occurrences and amid open lines in ``INSIDE`` of the others is left to its place.
+BETWEEN, NEVER, RECURS, CASES, BOTH, INSIDE = 0.04, 0.02, 6, 3, 0.1, 0.5
 #: Slots of the hashed features, rounds of expectation maximisation, steps of a fit, its penalty.
 BUCKETS, ROUNDS, STEPS, PENALTY = 1 << 17, 3, 40, 2e-6
 FURNITURE, TEASER, CONTENT = 0, 1, 2
+#: Signs from which on a whole line that no label holds for furniture speaks for content, while the roles are fitted.
+LONG = 100
 
 _WORD = re.compile(r"\w+|[^\w\s]+")
 _NUMBER = re.compile(r"\d[\d.,]*")
@@ -322,7 +325,7 @@ def learn_roles(sample: pd.DataFrame, furniture: set[int], content: set[int]) ->
         lines, own = non_blank(r.text), own_words(r.firm, r.name)
         for j, (i, l) in enumerate(lines):
             parts.append(np.concatenate([features(l, own), place_features(j, len(lines), j > 0 and i - lines[j - 1][0] > 1)]))
-            long.append(len(l) >= 100)
+            long.append(len(l) >= LONG)
         starts.append(len(parts))
         tpl += list(r.template)
         cut_off += list(r.cut_off)
@@ -355,6 +358,7 @@ def learn_roles(sample: pd.DataFrame, furniture: set[int], content: set[int]) ->
         em[cut_off] = (1e-6, 1, 1e-6)
         em[fur] *= (1, 1, 1e-6)
         em[con] *= (0.05, 0.05, 1)
+        em[long & ~tpl & ~cut_off & ~fur] *= (0.1, 0.1, 1)
         post, moves = forward_backward(em, starts, step, first)
         step = (moves + 1) / (moves + 1).sum(1, keepdims=True)
         first = (post[starts[:-1]].sum(0) + 1) / (len(starts) + 2)
@@ -412,14 +416,14 @@ def mark_templates(df: DataFrame, templates: bool = True) -> DataFrame:
 
 def skeleton_counts(marked: DataFrame) -> DataFrame:
     """``skeleton, n, between, hosts, on_template`` over all lines of pages with a template: occurrences outside templates and broken-off lines, those of
-    them that stand between such lines (or an end of the page) while the page has other open lines, whether several hosts have it, occurrences in templates."""
+    them that stand between such lines (or an end of the page) while the page has other open lines, those amid open lines (``inside``), whether several hosts have it, occurrences in templates."""
     known = F.zip_with("template", "cut_off", lambda a, b: a | b)
     open_ = F.size(F.filter(known, lambda x: ~x))
     line = marked.filter("size(skeletons) > 0").select("host", known.alias("k"), open_.alias("open"), F.posexplode("skeletons").alias("j", "skeleton"), "template")
     side = lambda d: F.coalesce(F.get("k", F.col("j") + d), F.lit(True))
     mine = F.get("k", F.col("j"))
     return line.groupBy("skeleton").agg(
-        F.count_if(~mine).alias("n"), F.count_if(~mine & side(-1) & side(1) & (F.col("open") > 2)).alias("between"), (F.min("host") < F.max("host")).alias("hosts"), F.count_if(F.get("template", F.col("j"))).alias("on_template")
+        F.count_if(~mine).alias("n"), F.count_if(~mine & side(-1) & side(1) & (F.col("open") > 2)).alias("between"), F.count_if(~mine & ~side(-1) & ~side(1)).alias("inside"), (F.min("host") < F.max("host")).alias("hosts"), F.count_if(F.get("template", F.col("j"))).alias("on_template")
     )
 
 
@@ -444,7 +448,8 @@ def main_bodies(df: DataFrame, templates: bool = True) -> DataFrame:
     mine = spark.createDataFrame(pd.DataFrame({"skeleton": pd.unique(np.concatenate([np.asarray(s, np.int64) for s in pages["skeletons"]] + [np.zeros(1, np.int64)]))}))
     share = F.col("between") / F.col("n")
     asked = skeleton_counts(marked).filter(F.col("hosts") & (F.col("n") >= RECURS)).join(mine, "skeleton", "left_semi")  # at most the sample's lines
-    kind = F.when((F.col("between") >= CASES) & (share >= BETWEEN), 1).when((share < NEVER) & (F.col("on_template") < NEVER * F.col("n")), 2)
+    heading = (F.col("on_template") >= BOTH * (F.col("n") + F.col("on_template"))) & (F.col("inside") >= INSIDE * F.col("n"))  # a menu entry of some hosts and a heading of bodies: its place decides
+    kind = F.when((F.col("between") >= CASES) & (share >= BETWEEN), F.when(~heading, 1)).when((share < NEVER) & (F.col("on_template") < NEVER * F.col("n")), 2)
     got = asked.select("skeleton", kind.alias("kind")).filter("kind is not null").toPandas()
     model = learn_roles(pages, set(got.loc[got["kind"] == 1, "skeleton"]), set(got.loc[got["kind"] == 2, "skeleton"]))
     return marked.select("entry_id", "text", "firm", "name", "template").mapInPandas(_bodies_udf(spark.sparkContext.broadcast(model)), "entry_id long, line_no int").distinct()
