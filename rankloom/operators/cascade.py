@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,15 +85,15 @@ def is_atypical(title: Column, roles: Column) -> Column:
     return F.coalesce(F.exists(roles, lambda r: F.contains(t, F.lower(r)) | F.contains(F.lower(r), t)), F.lit(False))
 
 
-def normalize_titles(people: DataFrame, overlay: DataFrame, entries: DataFrame, mode: str = "v2") -> DataFrame:
+def normalize_titles(people: DataFrame, overlay: DataFrame, entries: DataFrame, mode: str = "v2", translator: Callable[[Column], Column] = T.translate) -> DataFrame:
     """``id, level, function, normalized_title, how`` of people (``id, title, region, archetype, sub_industry``).
 
     The overlay by the title as it stands; else, for titles that aren't plain English letters, by the translated title;
-    else the ladder's cascade. ``how``: ``overlay``, ``translated``, ``cascade`` or null where nothing matches.
+    else the ladder's cascade. ``translator`` is any function of a column, a Pandas function too. ``how``: ``overlay``, ``translated``, ``cascade`` or null where nothing matches.
     """
     from rankloom.operators.taxonomy import lookup_overlay
 
-    p = people.withColumn("english", T.translate("title"))
+    p = people.withColumn("english", translator(F.col("title")))
     first = lookup_overlay(people, overlay, mode).select("id", F.struct("level", "function", "normalized_title", F.lit("overlay").alias("how")).alias("a"))
     foreign = p.filter(F.col("english") != F.col("title")).withColumn("title", F.col("english"))
     second = lookup_overlay(foreign, overlay, mode).select("id", F.struct("level", "function", "normalized_title", F.lit("translated").alias("how")).alias("b"))

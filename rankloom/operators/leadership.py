@@ -111,6 +111,15 @@ def promoted(people: DataFrame, have_board: DataFrame | None = None, have_execut
     return free(board, have_board).unionByName(free(executives, have_executives)).withColumn("confidence", F.lit(0.7)).withColumn("method", F.lit(UPLOADED))
 
 
+def enrich(people: DataFrame, leaders: DataFrame) -> DataFrame:
+    """The step that follows an upload: leaders from outside in the panels, and uploaded people in a panel that nobody from outside
+    fills. ``id, full_name, designation, dept, at_layer, method, confidence``."""
+    cols = ("id", "full_name", "designation", "dept", "at_layer", "method", "confidence")
+    got = cut(injected(leaders, people).select(*cols))
+    of = lambda dept: got.filter(F.col("dept") == dept).select("full_name")
+    return got.unionByName(promoted(people, of(BOARD), of(EXECUTIVE)).select(*cols))
+
+
 def readiness(nodes: DataFrame) -> DataFrame:
     """One row: ``board, executives, ready``: people of the panels that came from outside or were promoted."""
     there = F.col("method").isin(*WEB_METHODS, UPLOADED)

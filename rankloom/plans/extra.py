@@ -333,6 +333,7 @@ def _q() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None
             SELECT id, 'Board of Management' AS dept, CASE WHEN rk = 0 THEN 0 WHEN contains(t, 'independent') THEN 1 ELSE 2 END AS at_layer FROM b
             UNION ALL SELECT id, 'Executive Management', CASE rk WHEN 0 THEN 1 WHEN 1 THEN least(greatest(layer, 2), 4) ELSE layer END FROM e""",
         ),
+        "enriched_panels": (lambda s, d: leadership.enrich(_classified(s, d), _leaders(s, d)).select("id", "dept", "at_layer", "method"), INJECTED + " SELECT id, dept, at_layer, 'llm_leadership_web' AS method FROM injected"),
         "leadership_ready": (
             lambda s, d: leadership.readiness(leadership.injected(_leaders(s, d), _chart_people(s, d))),
             INJECTED + " SELECT count(*) FILTER (contains(dept, 'Board')) AS board, count(*) FILTER (NOT contains(dept, 'Board')) AS executives, count(*) > 0 AS ready FROM injected",

@@ -92,6 +92,15 @@ def test_purge_promotion_and_branches(spark):
     assert [(r.id, r.level) for r in nobody] == [("L_root", 1)]
 
 
+def test_enrichment(spark):
+    P = "id string, ord long, full_name string, designation string, layer int, dept_primary string, linkedin_url string"
+    people = spark.createDataFrame([("1", 1, "Ana Krol", "CEO", 1, "Executive Management", ""), ("2", 2, "Di Ek", "Chairman", 0, "Board", "")], P)
+    board = spark.createDataFrame([(1, "Bo Lim", "Chairman", True)], "ord long, name string, title string, is_board boolean")
+    got = {(r.full_name, r.dept, r.method) for r in leadership.enrich(people, board).collect()}
+    assert got == {("Bo Lim", leadership.BOARD, "llm_leadership_web"), ("Ana Krol", leadership.EXECUTIVE, leadership.UPLOADED)}
+    assert leadership.enrich(people.limit(0), board.limit(0)).count() == 0
+
+
 def test_ghost_chains_in_one_plan(spark):
     P = "id string, ord long, dept string, sub_dept string, at_layer int, designation string, sector string, dept_primary string, dept_secondary string"
     rows = [("a", 1, "Sales", "", 4, "Head", "s", "Sales", ""), ("b", 2, "Sales", "", 7, "Manager", "s", "Sales", ""), ("c", 3, "Sales", "", 10, "Clerk", "s", "Sales", ""), ("d", 4, "Ops", "", 6, "Director", "s", "Ops", ""), ("e", 5, "Ops", "", 4, "Chief of Staff", "s", "Ops", ""), ("f", 6, "Ops", "", 2, "EVP", "s", "Ops", "")]
