@@ -109,3 +109,29 @@ def test_cells_hold_every_pair_within_the_radius_in_use(spark):
             assert (a, b) not in far or names.same_surname([a], [b])
     rows = [(1, "Darius", "Tirnrtuderan", "Olix Steel", None, "", ""), (2, "Darius", "Timrtuderan", "Olix Steel", None, "", ""), (3, "Darius", "Timrtuderan", "Benupia Foods", None, "", "")]
     assert {tuple(r) for r in variants.link_people(spark.createDataFrame(rows, SCHEMA)).collect()} == {(1, 2)}
+
+
+def test_blocks_of_any_size_give_the_same_pairs(spark, monkeypatch):
+    """People of one firm meet in one task or by the beginnings of their surnames; in both ways as by comparing everybody."""
+    rng = random.Random(7)
+    surnames = {"Kranfugel", "Tirnrtuderan", "Mos", "Polvek"}
+    for w in sorted(surnames):
+        for _ in range(8):
+            v = list(w)
+            i = rng.randrange(len(v) - 1)
+            v[i : i + 2] = rng.choice([[v[i + 1], v[i]], [v[i]], ["b", v[i + 1]], [v[i], "t", v[i + 1]]])
+            surnames.add("".join(v).title())
+    rows = [(i, "Maria", s, f, None, "", "") for i, (f, s) in enumerate((f, s) for f in ("Olix Steel", "Benupia Foods") for s in sorted(surnames))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    part = lambda s: names.read_person("Maria", s, names.Lexicon.of(set()))[1]
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[3] == b[3] and names.same_surname(part(a[2]), part(b[2]))}
+    for most in (variants.BLOCK, 3):
+        monkeypatch.setattr(variants, "BLOCK", most)
+        assert {tuple(r) for r in variants.link_people(df).collect()} == want
+
+
+def test_tasks_return_only_pairs_that_hold(spark):
+    """Candidates never leave the task that compares them: of two people of one firm with surnames alike and other given names nothing is written."""
+    lex = names.Lexicon.of({"maria", "zdenek"})
+    people = [(2, None, "maria", "kranfugel", "olix steel"), (1, 5, "maria", "kranfugle", "olix steel"), (3, None, "zdenek", "kranfugel", "olix steel"), (4, 6, "maria", "kranfugel", "olix steel"), (2, None, "maria", "kranfugel", "olix steel")]
+    assert sorted(variants.block_pairs(people, lex)) == [(1, 2, 5, None), (2, 4, None, 6)]
