@@ -135,3 +135,15 @@ def test_tasks_return_only_pairs_that_hold(spark):
     lex = names.Lexicon.of({"maria", "zdenek"})
     people = [(2, None, "maria", "kranfugel", "olix steel"), (1, 5, "maria", "kranfugle", "olix steel"), (3, None, "zdenek", "kranfugel", "olix steel"), (4, 6, "maria", "kranfugel", "olix steel"), (2, None, "maria", "kranfugel", "olix steel")]
     assert sorted(variants.block_pairs(people, lex)) == [(1, 2, 5, None), (2, 4, None, 6)]
+
+
+def test_short_forms_from_families_of_any_size(spark):
+    """Families of more given names than ``FAMILY`` tell of short forms, too, if there are enough of them."""
+    abc = "bcdfgjklmprst"
+    rows = [("william", f"t{i}", "firm") for i in range(200)]
+    for f in range(320):
+        word = abc[f % 13] + "o" + abc[f // 13 % 13] + "u" + abc[f // 169]
+        others = [f"{a}{b}{word}na" for a in "xz" for b in "aeiou"]
+        rows += [(g, f"s{f}", f"firm{f}") for g in [*others, *(["william", "bill"] if f < 20 else ["p" + word, "q" + word])]]
+    got = set(variants.short_forms(spark.createDataFrame(rows, "given string, surname string, firm string")))
+    assert got == {("bill", "william")}
